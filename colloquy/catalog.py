@@ -1,0 +1,4 @@
+"""Registered queries of the chat-export engine and their SQL equivalents."""
+
+QUERIES = {}
+ORACLE_SQL = {}
