@@ -2,21 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import bpe, fingerprint, linededup, neardup, packing, pii, tokencounts, topk
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PATTERN = public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = linededup.drop_boilerplate(docs, F.col("source"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.char_length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
+OP1_SQL = r"""
+WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+pages AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+counts AS (SELECT source, line, count(DISTINCT doc_id) AS pages FROM lines WHERE trim(line) <> '' GROUP BY source, line),
+boiler AS (SELECT c.source, c.line FROM counts c JOIN pages p USING (source) WHERE c.pages >= 5 AND c.pages > 0.1 * p.host_pages),
+marked AS (SELECT l.doc_id, l.i, l.line, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON l.source = b.source AND l.line = b.line),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars_kept, md5(text) AS text_md5 FROM kept
+"""
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN)
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+
+    def n(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin([k.name for k in pii.BASE]))
+    return found.select("doc_id", *(n(k.name) for k in pii.BASE), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_packing": op5_packing,
+    "op6_token_counts": op6_token_counts,
+    "op8_personal_data": op8_personal_data,
+    "op9_exact_top_k": op9_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+}
