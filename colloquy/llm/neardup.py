@@ -14,7 +14,9 @@ How groups stay bounded:
 * round 2 compares, within each band bucket that still holds several
   components, the members outside the largest component with the members of
   other components, so a bucket of m members of which all but s are already
-  linked costs s * m comparisons instead of m * m;
+  linked costs s * m comparisons instead of m * m; a bound from 1024 shingle
+  parities, exact in that it never exceeds the true difference of two sets,
+  settles most of them before any set is fetched;
 * a bucket for which even that exceeds ``BUCKET_PAIRS`` is taken apart
   exactly: its members are indexed by the rarest shingles that any set at
   the wanted similarity must share (prefix filtering), which separates
@@ -26,9 +28,9 @@ probability 3e-6, at 0.85 with 2e-8.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,9 @@ from .components import connected_components
 from .shared import small, stage
 
 BANDS, ROWS = 32, 5
+#: 64-bit words of shingle parities kept for the bound in ``_can_link``.
+PARITY_WORDS = 16
+_PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
 #: Comparisons in one bucket beyond which it is taken apart by prefix filtering.
 BUCKET_PAIRS = 20_000
 
@@ -134,11 +139,13 @@ def _texts_of(nodes: DataFrame, reps: DataFrame) -> DataFrame:
     return reps.join(small(nodes), "node", "left_semi")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets_of(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Staged (node, shingles) of the wanted classes."""
+    return stage(_texts_of(nodes, texts).mapInArrow(_sets(size), "node long, shingles binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The staged pairs(u, v) whose full sets pass."""
-    nodes = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    sets = stage(_texts_of(nodes, texts).mapInArrow(_sets(size), "node long, shingles binary"), "sets")
-    # long sets travel beside short ones: small Arrow batches keep memory bounded
     joined = (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("left_set")), "u")
         .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("right_set")), "v")
@@ -147,12 +154,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stage(joined.mapInArrow(_confirm(percent), "u long, v long").distinct(), "links")
 
 
-def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
 
 
-def _across(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rows of oversized buckets) for rows(key, node, n, component).
+def _explode_sets(sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("shingles").alias("keys"), "node", F.lit(0).cast("long").alias("n")).mapInArrow(_explode_keys, "key long, node long, n long")
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        table = np.zeros((len(batch), 64 * PARITY_WORDS), np.uint8)
+        for i, raw in enumerate(batch.column("shingles")):
+            place = np.frombuffer(raw.as_buffer(), np.uint64) >> np.uint64(17)
+            table[i] = np.bincount((place % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+        words = np.packbits(table, axis=1).view(np.int64)
+        yield pa.record_batch([batch.column("node"), *(pa.array(words[:, k]) for k in range(PARITY_WORDS))], ["node", *_PARITY])
+
+
+def _sketched(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with the parity words of their node; nodes of several texts get none."""
+    words = sets.mapInArrow(_parities, "node long, " + ", ".join(f"{c} long" for c in _PARITY))
+    one = words.groupBy("node").agg(F.count("*").alias("texts"), *(F.min(c).alias(c) for c in _PARITY)).where("texts = 1").drop("texts")
+    return rows.join(stage(one, "parities"), "node", "left")
+
+
+def _can_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and parities leave room for a link.
+
+    Each shingle that only one of two sets has flips one parity, so as many
+    differ at least as parities do; a link allows (n + m) * (100 - percent) /
+    (100 + percent) of them.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _PARITY])
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & F.coalesce((100 + percent) * differ <= (100 - percent) * (n + m), F.lit(True))
+
+
+def _across(rows: DataFrame, percent: int, limit: int | None = BUCKET_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """(pairs, nodes of buckets beyond the limit) for rows(key, node, n, component, parities).
 
     Pairs join the members outside a bucket's largest component with the
     members of other components.
@@ -161,26 +201,26 @@ def _across(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     cost = per.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("component", "c").alias("major"), F.count("*").alias("k")).where("k > 1")
     cost = stage(cost.select("key", "major", (F.col("m") * (F.col("m") - F.col("most"))).alias("pairs")), "buckets")
     tagged = rows.join(cost, "key")
-    fits = tagged.where(F.col("pairs") <= BUCKET_PAIRS)
+    fits = tagged if limit is None else tagged.where(F.col("pairs") <= limit)
     left, right = fits.where("component <> major").alias("a"), fits.alias("b")
     on = (
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.major")) | (F.col("a.node") < F.col("b.node")))
-        & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
+        & _can_link("a", "b", percent)
     )
     pairs = left.join(right, on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
-    return pairs.distinct(), tagged.where(F.col("pairs") > BUCKET_PAIRS).select("node", "n", "component").distinct()
+    beyond = tagged.where(F.lit(False) if limit is None else F.col("pairs") > limit)
+    return pairs.distinct(), beyond.drop("key", "major", "pairs").distinct()
 
 
-def _prefix_rows(hot: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _prefix_rows(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows keyed by the shingles of which any two sets at ``percent`` share one.
 
     Shingles are ordered by rarity within ``hot``; of n shingles the first
     n - ceil(percent * n / 100) + 1 are indexed.
     """
-    sets = stage(_texts_of(hot.select("node"), texts).mapInArrow(_sets(size), "node long, shingles binary"), "hot-sets")
-    each = sets.select("node", F.col("shingles").alias("keys"), F.lit(0).cast("long").alias("n")).mapInArrow(_explode_keys, "key long, node long, n long")
+    each = stage(_explode_sets(sets.join(hot.select("node").distinct(), "node", "left_semi")), "hot-shingles")
     rarity = each.groupBy("key").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
     keep = F.expr(f"cast(size(s) - ceil({percent} * cast(size(s) as bigint) / 100.0) + 1 as int)")
@@ -212,26 +252,21 @@ def near_duplicates(
     multi = stage(each.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot"), "multi")
     shared = stage(each.join(multi, "key"), "shared")
     first = stage(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("u")).select("u", F.col("node").alias("v")), "first")
-    links = _verified(first, texts, size, percent)
+    links = _verified(first, _sets_of(_ends(first), texts, size), percent)
     found = stage(connected_components(links), "components")
 
-    def across(table: DataFrame) -> DataFrame:
-        return table.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    bucketed = stage(across(shared.select("key", "node", "n")), "bucketed")
-    pairs, hot = _across(bucketed, percent)
+    bucketed = stage(shared.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "bucketed")
+    mixed = bucketed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    rows = stage(bucketed.join(mixed, "key"), "mixed")
+    sets = _sets_of(stage(rows.select("node").distinct(), "nodes"), texts, size)
+    rows = stage(_sketched(rows, sets), "sketched")
+    pairs, hot = _across(rows, percent)
     hot = stage(hot, "hot")
     if not hot.isEmpty():
-        again = stage(_prefix_rows(hot, texts, size, percent), "prefixes")
-        more, rest = _across(again, percent)
+        more, _ = _across(stage(_prefix_rows(hot, sets, percent), "prefixes"), percent, None)
         pairs = pairs.unionByName(more)
-        if not rest.isEmpty():
-            left = again.join(rest.select("node"), "node", "left_semi")
-            a, b = left.alias("a"), left.alias("b")
-            on = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.node") < F.col("b.node")) & _similar_sizes(F.col("a.n"), F.col("b.n"), percent)
-            pairs = pairs.unionByName(a.join(b, on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct())
     second = stage(pairs.distinct().join(first, ["u", "v"], "left_anti"), "second")
-    links = links.unionByName(_verified(second, texts, size, percent))
+    links = links.unionByName(_verified(second, sets, percent))
     # classes whose smallest document is shared, and rows that repeat an id, meet here
     member = usable.join(classes.select("digest", "node"), "digest").select("doc_id", "node").distinct()
     repeated = member.where("doc_id <> node").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
