@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, neardup, packing, pii, tokencounts, topk
+from . import bpe, fingerprint, linededup, maxent, neardup, packing, pii, tokencounts, topk, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_duplicates": op2_near_duplicates,
@@ -76,8 +84,10 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_personal_data": op8_personal_data,
     "op9_exact_top_k": op9_exact_top_k,
+    "op10_maxent_scores": op10_maxent_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {
