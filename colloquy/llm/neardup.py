@@ -45,8 +45,8 @@ BANDS, ROWS = 32, 5
 #: 64-bit words of shingle parities kept for the bound in ``_can_link``.
 PARITY_WORDS = 16
 _PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
-#: Comparisons in one bucket beyond which it is taken apart by prefix filtering.
-BUCKET_PAIRS = 20_000
+#: Comparisons in one bucket (each a few popcounts) beyond which it is taken apart by prefix filtering.
+BUCKET_PAIRS = 4_000_000
 
 
 def circulant_signature(sets: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def _can_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & F.coalesce((100 + percent) * differ <= (100 - percent) * (n + m), F.lit(True))
 
 
-def _across(rows: DataFrame, percent: int, limit: int | None = BUCKET_PAIRS) -> tuple[DataFrame, DataFrame]:
+def _across(rows: DataFrame, percent: int, limit: int | None) -> tuple[DataFrame, DataFrame]:
     """(pairs, nodes of buckets beyond the limit) for rows(key, node, n, component, parities).
 
     Pairs join the members outside a bucket's largest component with the
@@ -229,7 +229,7 @@ def _prefix_rows(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bucket_pairs: int = BUCKET_PAIRS
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each input row.
 
@@ -257,10 +257,10 @@ def near_duplicates(
 
     bucketed = stage(shared.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "bucketed")
     mixed = bucketed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows = stage(bucketed.join(mixed, "key"), "mixed")
-    sets = _sets_of(stage(rows.select("node").distinct(), "nodes"), texts, size)
-    rows = stage(_sketched(rows, sets), "sketched")
-    pairs, hot = _across(rows, percent)
+    members = stage(bucketed.join(mixed, "key"), "mixed")
+    sets = _sets_of(stage(members.select("node").distinct(), "nodes"), texts, size)
+    members = stage(_sketched(members, sets), "sketched")
+    pairs, hot = _across(members, percent, bucket_pairs)
     hot = stage(hot, "hot")
     if not hot.isEmpty():
         more, _ = _across(stage(_prefix_rows(hot, sets, percent), "prefixes"), percent, None)
