@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 
@@ -245,12 +246,12 @@ def _scores(model: Model | None, weights: np.ndarray | None):
         memory: dict[int, float] = {}
         for batch in batches:
             if model is None:
-                yield pa.record_batch([batch.column("doc_id"), pa.array(np.zeros(len(batch)))], ["doc_id", "score"])
+                yield batch.append_column("__toxicity", pa.array(np.zeros(len(batch))))
                 continue
-            for first, found in _evidence_of(model, batch.column("text"), memory):
+            for first, found in _evidence_of(model, batch.column("__text"), memory):
                 x = _prepared(np.array(found))
                 score = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -500, 500)))
-                yield pa.record_batch([batch.column("doc_id").slice(first, len(found)), pa.array(score)], ["doc_id", "score"])
+                yield batch.slice(first, len(found)).append_column("__toxicity", pa.array(score))
 
     return run
 
@@ -286,14 +287,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(grams, t.sum(axis=1), o.sum(axis=1)), weights
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row for each input row.
+def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` and a ``__toxicity`` score, one row for each input row, without a shuffle.
 
     A null or empty text has no evidence and gets the calibration's constant.
-    Rows with a null id are scored too (not held out); where labels give no
-    model every score is 0. Other columns are ignored.
+    Rows with a null id are scored too; where labels give no model every score
+    is 0.
     """
     model, weights = fit(docs, labels, id_col, text_col)
+    source = docs.withColumn("__text", F.col(text_col))
+    schema = T.StructType([*source.schema.fields, T.StructField("__toxicity", T.DoubleType())])
+    return source.mapInArrow(_scores(model, weights), schema).drop("__text")
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row for each input row; see ``with_score``. Other columns are ignored."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = source.mapInArrow(_scores(model, weights), "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = with_score(source, labels.withColumn("doc_id", F.col(id_col)))
+    score_ = F.col("__toxicity")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_.alias("score"), (score_ >= 0.5).cast("int").alias("predicted"))
