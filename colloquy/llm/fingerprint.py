@@ -55,29 +55,32 @@ def _collapse_runs(names: np.ndarray, span: np.ndarray, starts: np.ndarray) -> t
     return out, np.add.reduceat(span, at), np.searchsorted(at, starts)
 
 
-def _labels(names: np.ndarray) -> np.ndarray:
-    """Four rounds of coin tossing: labels below eight, distinct between neighbours."""
-    left = np.empty_like(names)
-    left[0] = ~names[0]
-    left[1:] = names[:-1]
-    differ = names ^ left
+def _labels(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Four rounds of coin tossing: labels below eight, distinct between neighbours of one text."""
+
+    def left(x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[starts] = ~x[starts]
+        return out
+
+    differ = names ^ left(names)
     bit = np.bitwise_count((differ & (~differ + _ONE)) - _ONE)
     label = (bit << 1) | ((names >> bit.astype(np.uint64)) & _ONE).astype(np.uint8)
     for _ in range(3):
-        left = np.empty_like(label)
-        left[0] = ~label[0]
-        left[1:] = label[:-1]
-        bit = _LOW_BIT[label ^ left]
+        bit = _LOW_BIT[label ^ left(label)]
         label = (bit << 1) | ((label >> bit) & 1)
     return label
 
 
 def _parse(names: np.ndarray, span: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names, span, starts = _collapse_runs(names, span, starts)
-    label = _labels(names)
-    peak = np.zeros(len(names), bool)
-    peak[1:] = label[1:] > label[:-1]
-    peak[:-1] &= label[:-1] >= label[1:]
+    label = _labels(names, starts)
+    right = np.zeros_like(label)
+    right[:-1] = label[1:]
+    right[starts[1:] - 1] = 0
+    peak = label >= right
+    peak[1:] &= label[1:] > label[:-1]
     peak[starts] = True
     at = np.flatnonzero(peak)
     length = np.diff(at, append=len(names))
