@@ -15,6 +15,7 @@ import base64
 import codecs
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -73,17 +74,18 @@ class ByteBPE:
             self.table[rank] = bytes(map(self.byte_of.__getitem__, shown))
         self.text_of = [str(i) for i in range(len(self.table))]
         self._ids = Chunks(self._encode_ids)
-        self._starts = Chunks(self._encode_starts)
+        self._spans = Chunks(self._encode_spans)
 
     def _encode_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_starts(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.offsets, np.int64).reshape(-1, 2).T.tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encode_spans(self, texts: list[str]) -> list[bytes]:
+        """(id, start, end) of each token, flat."""
+        return [np.column_stack((e.ids, np.array(e.offsets).reshape(-1, 2))).astype(np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text."""
-        for found in self._ids.of(texts):
+        for _, found in self._ids.of(texts):
             yield np.frombuffer(b"".join(found), np.uint32)
 
     def encode_with_offsets(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,15 +93,11 @@ class ByteBPE:
 
         Tokens that share one character (its bytes are split) share its offsets.
         """
-        for text, ids, spans in zip(texts, self.encode(texts), self._starts.of(texts), strict=True):
-            starts, ends, at = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64), 0
-            for (a, _), raw in zip(cuts(text), spans, strict=True):
-                both = np.frombuffer(raw, np.int64).reshape(2, -1)
-                n = both.shape[1]
-                np.add(both[0], a, out=starts[at : at + n])
-                np.add(both[1], a, out=ends[at : at + n])
-                at += n
-            yield ids, starts, ends
+        for sizes, found in self._spans.of(texts):
+            flat = np.frombuffer(b"".join(found), np.uint32).reshape(-1, 3)
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            base = np.repeat(starts, [len(x) // 12 for x in found])
+            yield flat[:, 0], flat[:, 1] + base, flat[:, 2] + base
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -116,15 +114,6 @@ _UNSAFE = re.compile(r" (?!\S)")
 _CUT = re.compile(r"(?= \S)")
 
 
-def cuts(text: str) -> list[tuple[int, str]]:
-    """(start, chunk) of the chunks of a text."""
-    out, at = [], 0
-    for chunk in _CUT.split(text) if text else [""]:
-        out.append((at, chunk))
-        at += len(chunk)
-    return out
-
-
 class Chunks:
     """Remembers what ``encode`` gives for each distinct chunk."""
 
@@ -133,29 +122,29 @@ class Chunks:
         self.known: dict[str, bytes] = {"": b""}  # chunks as they are
         self.spaced: dict[str, bytes] = {}  # chunks after a space, without it
 
-    def of(self, texts: list[str]) -> Iterator[list[bytes]]:
-        """For each text the encodings of its chunks (empty ones included) in order."""
+    def of(self, texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+        """For each text the sizes and encodings of its chunks (an empty first one included) in order."""
         firsts, rests = [], []
         for text in texts:
-            parts = text.split(" ") if not _UNSAFE.search(text) else None
-            if parts is None:
-                parts = _CUT.split(text)
-                if len(parts) > 1 and not parts[0]:
-                    pass  # the text starts with a spaced chunk; the empty one before it has no ids
-                parts[1:] = [p[1:] for p in parts[1:]]
-            firsts.append(parts[0])
-            rests.append(parts[1:])
+            if _UNSAFE.search(text):
+                first, *rest = _CUT.split(text)
+                rest = [p[1:] for p in rest]
+            else:
+                first, *rest = text.split(" ")
+            firsts.append(first)
+            rests.append(rest)
         self._learn(firsts, rests)
         known, spaced = self.known.__getitem__, self.spaced.__getitem__
         for first, rest in zip(firsts, rests, strict=True):
-            yield [known(first), *map(spaced, rest)]
+            yield [len(first), *(len(p) + 1 for p in rest)], [known(first), *map(spaced, rest)]
 
     def _learn(self, firsts: list[str], rests: list[list[str]]) -> None:
-        for memory, before, wanted in ((self.known, "", set(firsts)), (self.spaced, " ", set().union(*rests))):
-            new = wanted.difference(memory)
+        for memory, before, wanted in ((self.known, "", firsts), (self.spaced, " ", rests)):
+            each = lambda w=wanted, nested=bool(before): itertools.chain.from_iterable(w) if nested else w
+            new = set(itertools.filterfalse(memory.__contains__, each()))
             if len(memory) + len(new) > self.limit:
                 memory.clear()
-                new = wanted
+                new = set(each())
             new = list(new)
             for at in range(0, len(new), 20_000):
                 some = new[at : at + 20_000]
