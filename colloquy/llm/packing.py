@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import cut_bytes
 from .shared import small, stage
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-os.environ.setdefault("RAYON_NUM_THREADS", "1")
-
 CAPACITY = 4096
 FAN_IN = 16
 PASS_ON = 4096
@@ -38,7 +36,7 @@ PASS_ON = 4096
 NEARLY_FULL = (0.998, 0.99, 0.98, 0.95)
 #: Pieces that one task packs together.
 LOCAL_PIECES = 200_000
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_300_000
 SLICE_BYTES = 1 << 21
 
 
@@ -82,16 +80,25 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
         self.stop = {c: ids for c, ids in zip(_STOPS, self._encode([bytes([c]) for c in _STOPS]), strict=True)}
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Whole words of lower-case letters skip normaliser and splitter, which would leave them as they are."""
+        out: list[bytes] = [b""] * len(chunks)
+        texts = [x.decode() for x in chunks]
+        plain = [t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
+        for tokenizer, at in ((self.bare, [i for i, p in enumerate(plain) if p]), (self.tokenizer, [i for i, p in enumerate(plain) if not p])):
+            ids = [e.ids for e in tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)]
+            for i, found in zip(at, cut_bytes(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), list(map(len, ids))), strict=True):
+                out[i] = found
+        return out
 
     def _learn(self, new: set[bytes]) -> None:
         stopped = [x for x in new if len(x) > 1 and x[-1] in _STOPS and x[-2] in _LETTERS]
