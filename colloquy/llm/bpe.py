@@ -29,7 +29,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Chunks that a worker remembers before it starts afresh; bounds its memory.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 #: Characters of text encoded at a time.
 SLICE_CHARS = 1 << 21
 
@@ -69,19 +69,52 @@ class ByteBPE:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
+        self.bare = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = [b""] * (max(ranks.values()) + 1)
         for shown, rank in vocab.items():
             self.table[rank] = bytes(map(self.byte_of.__getitem__, shown))
         self.text_of = [str(i) for i in range(len(self.table))]
-        self._ids = Chunks(self._encode_ids)
-        self._spans = Chunks(self._encode_spans)
+        self._ids = Chunks(self._encode_ids, self._stop_id)
+        self._spans = Chunks(self._encode_spans, self._stop_span)
+        self._stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids[0] for c in STOPS}
+
+    def _stop_id(self, size: int, stop: str) -> bytes:
+        return np.uint32(self._stops[stop]).tobytes()
+
+    def _stop_span(self, size: int, stop: str) -> bytes:
+        return np.array([self._stops[stop], size, size + 1], np.uint32).tobytes()
+
+    def _parts(self, texts: list[str]) -> Iterator[tuple[list[int], object]]:
+        """(indices, encoder): words of letters, with or without a space before, skip the splitter, which would keep them whole."""
+        whole = [(t[1:] if t[:1] == " " else t).isalpha() for t in texts]
+        for keep, tokenizer in ((True, self.bare), (False, self.tokenizer)):
+            at = [i for i, w in enumerate(whole) if w is keep]
+            if at:
+                yield at, tokenizer
 
     def _encode_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = [b""] * len(texts)
+        for at, tokenizer in self._parts(texts):
+            ids = [e.ids for e in tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)]
+            for i, found in zip(at, cut_bytes(np.fromiter(itertools.chain.from_iterable(ids), np.uint32), list(map(len, ids))), strict=True):
+                out[i] = found
+        return out
 
     def _encode_spans(self, texts: list[str]) -> list[bytes]:
         """(id, start, end) of each token, flat."""
-        return [np.column_stack((e.ids, np.array(e.offsets).reshape(-1, 2))).astype(np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out: list[bytes] = [b""] * len(texts)
+        for at, tokenizer in self._parts(texts):
+            encoded = tokenizer.encode_batch([texts[i] for i in at], add_special_tokens=False)
+            ids = [e.ids for e in encoded]
+            sizes = list(map(len, ids))
+            flat = np.empty((sum(sizes), 3), np.uint32)
+            flat[:, 0] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
+            offsets = itertools.chain.from_iterable(itertools.chain.from_iterable(e.offsets for e in encoded))
+            flat[:, 1:] = np.fromiter(offsets, np.uint32).reshape(-1, 2)
+            for i, found in zip(at, cut_bytes(flat, sizes), strict=True):
+                out[i] = found
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text."""
@@ -110,6 +143,16 @@ class ByteBPE:
         yield decoder.decode(b"", True)
 
 
+def cut_bytes(rows: np.ndarray, sizes: list[int]) -> list[bytes]:
+    """The bytes of consecutive runs of rows."""
+    raw, width = rows.tobytes(), rows.itemsize * (rows.shape[1] if rows.ndim == 2 else 1)
+    ends = [width * n for n in itertools.accumulate(sizes)]
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+#: A single one of these at a chunk's end, after an ASCII letter, is a token of its own.
+STOPS = frozenset(",.;:!?")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _UNSAFE = re.compile(r" (?!\S)")
 _CUT = re.compile(r"(?= \S)")
 
@@ -117,8 +160,8 @@ _CUT = re.compile(r"(?= \S)")
 class Chunks:
     """Remembers what ``encode`` gives for each distinct chunk."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_ENTRIES):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], stop: Callable[[int, str], bytes], limit: int = CACHE_ENTRIES):
+        self.encode, self.stop, self.limit = encode, stop, limit
         self.known: dict[str, bytes] = {"": b""}  # chunks as they are
         self.spaced: dict[str, bytes] = {}  # chunks after a space, without it
 
@@ -145,10 +188,15 @@ class Chunks:
             if len(memory) + len(new) > self.limit:
                 memory.clear()
                 new = set(each())
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
+            stopped = [x for x in new if len(x) > 1 and x[-1] in STOPS and x[-2] in _LETTERS]
+            new.difference_update(stopped)
+            new.update(x for x in {x[:-1] for x in stopped} if x not in memory)
+            bare = list(new)
+            for at in range(0, len(bare), 20_000):
+                some = bare[at : at + 20_000]
                 memory.update(zip(some, self.encode([before + x for x in some]), strict=True))
+            for x in stopped:
+                memory[x] = memory[x[:-1]] + self.stop(len(before) + len(x) - 1, x[-1])
         self.known.setdefault("", b"")
 
 
