@@ -39,6 +39,19 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, md5_number_lower(x) AS h, md5_number_upper(x) AS g FROM (SELECT doc_id, s, unnest(s) AS x FROM sets)),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS total, count(*) AS c FROM each a JOIN each b ON a.h = b.h AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, 3),
+links AS (SELECT u, v FROM pairs WHERE 100 * c >= 80 * (total - c)),
+either AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(u, v) AS (SELECT u, v FROM either UNION SELECT r.u, e.v FROM reach r JOIN either e ON e.u = r.v),
+low AS (SELECT u, least(min(v), u) AS m FROM reach GROUP BY u)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.m, s.doc_id) AS component_id, coalesce(l.m, s.doc_id) = s.doc_id AS kept FROM sets s LEFT JOIN low l ON l.u = s.doc_id
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN)
 
@@ -73,6 +86,15 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op10_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(_table(spark, sf_dir, "documents"))
 
@@ -92,4 +114,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op2_near_duplicates": OP2_SQL,
+    "op9_exact_top_k": OP9_SQL,
 }

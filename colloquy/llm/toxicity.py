@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -275,14 +274,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = source.join(F.broadcast(sample), "doc_id").select("text", "toxic", fold.alias("fold"))
     counts = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} long" for c in FOLDS))
     sums = counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in FOLDS))
-    top = sums.orderBy(F.desc(F.expr("t0 + t1 + o0 + o1")), "gram").limit(MAX_GRAMS).toPandas()
-    t, o = top[["t0", "t1"]].to_numpy(np.float64), top[["o0", "o1"]].to_numpy(np.float64)
+    top = sums.orderBy(F.desc(F.expr("t0 + t1 + o0 + o1")), "gram").limit(MAX_GRAMS).toArrow()
+    t, o = (np.column_stack([top[c].to_numpy() for c in cs]).astype(np.float64) for cs in (FOLDS[:2], FOLDS[2:]))
     if not (t.sum(axis=0).all() if len(t) else False) or not o.sum(axis=0).all():
         return None, None
-    grams = top["gram"].tolist()
+    grams = top["gram"].to_pylist()
     halves = tuple(train(grams, t[:, f], o[:, f]) for f in (0, 1))
-    features: pd.DataFrame = rows.mapInArrow(_fold_features(halves), "toxic int, x array<double>").toPandas()
-    x = _prepared(np.array(features["x"].tolist()))
+    features = rows.mapInArrow(_fold_features(halves), "toxic int, x array<double>").toArrow()
+    x = _prepared(np.array(features["x"].to_pylist()))
     weights = fit_logistic(x, (features["toxic"].to_numpy() > 0).astype(float))
     return train(grams, t.sum(axis=1), o.sum(axis=1)), weights
 
