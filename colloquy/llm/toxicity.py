@@ -11,8 +11,9 @@ stretches of a fixed number of words; a logistic calibration, fitted on
 documents whose own counts were held out, turns it into a score.
 
 The fit uses a bounded sample of labelled rows (``MAX_DOCS``, chosen by a
-hash of the id) and at most ``MAX_GRAMS`` n-grams, so the model that is sent
-to the workers has a bounded size whatever the corpus.
+hash of the id) and at most ``MAX_GRAMS`` n-grams (the rarest are left out,
+all of one count together), so the model that is sent to the workers has a
+bounded size whatever the corpus.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .shared import stage
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -274,7 +276,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = source.join(F.broadcast(sample), "doc_id").select("text", "toxic", fold.alias("fold"))
     counts = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} long" for c in FOLDS))
     sums = counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in FOLDS))
-    top = sums.orderBy(F.desc(F.expr("t0 + t1 + o0 + o1")), "gram").limit(MAX_GRAMS).toArrow()
+    sums = stage(sums.withColumn("n", F.expr("t0 + t1 + o0 + o1")), "grams")
+    least, room = 1_001, MAX_GRAMS
+    for r in sums.groupBy(F.least("n", F.lit(1_000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["n"]
+    top = sums.where(F.col("n") >= least).toArrow()
     t, o = (np.column_stack([top[c].to_numpy() for c in cs]).astype(np.float64) for cs in (FOLDS[:2], FOLDS[2:]))
     if not (t.sum(axis=0).all() if len(t) else False) or not o.sum(axis=0).all():
         return None, None
