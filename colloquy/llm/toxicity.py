@@ -39,7 +39,7 @@ MAX_GRAMS = 400_000
 #: Words in a stretch whose mean decides how toxic its worst part is.
 STRETCHES = (1, 3, 12)
 CACHE_ENTRIES = 500_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 FOLDS = ("t0", "t1", "o0", "o1")
 
 
@@ -242,14 +242,14 @@ def _prepared(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.sqrt(np.abs(x))
 
 
-def _scores(model: Model | None, weights: np.ndarray | None):
+def _scores(model: Model | None, weights: np.ndarray | None, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[int, float] = {}
         for batch in batches:
             if model is None:
                 yield batch.append_column("__toxicity", pa.array(np.zeros(len(batch))))
                 continue
-            for first, found in _evidence_of(model, batch.column("__text"), memory):
+            for first, found in _evidence_of(model, batch.column(column), memory):
                 x = _prepared(np.array(found))
                 score = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -500, 500)))
                 yield batch.slice(first, len(found)).append_column("__toxicity", pa.array(score))
@@ -303,9 +303,8 @@ def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     is 0.
     """
     model, weights = fit(docs, labels, id_col, text_col)
-    source = docs.withColumn("__text", F.col(text_col))
-    schema = T.StructType([*source.schema.fields, T.StructField("__toxicity", T.DoubleType())])
-    return source.mapInArrow(_scores(model, weights), schema).drop("__text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())])
+    return docs.mapInArrow(_scores(model, weights, text_col), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
