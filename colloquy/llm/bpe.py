@@ -132,6 +132,13 @@ class ByteBPE:
             base = np.repeat(starts, [len(x) // 12 for x in found])
             yield flat[:, 0], flat[:, 1] + base, flat[:, 2] + base
 
+    def forget(self) -> None:
+        """Give remembered chunks back at a task's end: workers are reused by other stages."""
+        for chunks in (self._ids, self._spans):
+            chunks.known.clear()
+            chunks.spaced.clear()
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
 
@@ -231,6 +238,7 @@ def _round_trip(path: str, pattern: str):
                     rows.append((len(ids), hashlib.sha256(" ".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
                 n, encoded, decoded = zip(*rows, strict=True)
                 yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return run
 

@@ -36,7 +36,7 @@ PASS_ON = 4096
 NEARLY_FULL = (0.998, 0.99, 0.98, 0.95)
 #: Pieces that one task packs together.
 LOCAL_PIECES = 200_000
-CACHE_ENTRIES = 1_300_000
+CACHE_ENTRIES = 800_000
 SLICE_BYTES = 1 << 21
 
 
@@ -173,6 +173,9 @@ def _local(path: str, capacity: int, end_id: int):
                         yield packed()
         if rows:
             yield packed()
+        # workers are reused by later stages, which need the memory more than this one needs a warm start
+        tokenizer.known.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 

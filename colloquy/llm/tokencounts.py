@@ -68,6 +68,7 @@ def _count(path: str, pattern: str, rule: str, by_field: bool):
                     [batch.column("doc_id").slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(map(len, counts), pa.int64()), pa.array(crossing, pa.int64()), pa.array(counts, pa.list_(pa.int64()))],
                     ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],
                 )
+        bpe.forget()
 
     return run
 

@@ -38,7 +38,7 @@ MAX_DOCS = 20_000
 MAX_GRAMS = 400_000
 #: Words in a stretch whose mean decides how toxic its worst part is.
 STRETCHES = (1, 3, 12)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 SLICE_BYTES = 1 << 20
 FOLDS = ("t0", "t1", "o0", "o1")
 
