@@ -35,7 +35,7 @@ from .shared import stage
 ORDER = 6
 DISCOUNT = 0.75
 MAX_DOCS = 20_000
-MAX_GRAMS = 400_000
+MAX_GRAMS = 300_000
 #: Words in a stretch whose mean decides how toxic its worst part is.
 STRETCHES = (1, 3, 12)
 CACHE_ENTRIES = 300_000
