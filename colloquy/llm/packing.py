@@ -36,7 +36,8 @@ PASS_ON = 4096
 NEARLY_FULL = (0.998, 0.99, 0.98, 0.95)
 #: Pieces that one task packs together.
 LOCAL_PIECES = 200_000
-CACHE_ENTRIES = 800_000
+#: Chunks a worker remembers: from task to task, or (``warm=False``) within a task.
+CACHE_ENTRIES, TASK_ENTRIES = 1_300_000, 800_000
 SLICE_BYTES = 1 << 21
 
 
@@ -87,6 +88,7 @@ class WordTokenizer:
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
+        self.limit = CACHE_ENTRIES
         self.stop = {c: ids for c, ids in zip(_STOPS, self._encode([bytes([c]) for c in _STOPS]), strict=True)}
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
@@ -115,7 +117,7 @@ class WordTokenizer:
         """Ids of each text as little-endian uint32 bytes."""
         chunks = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(chunks)))
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = set().union(*chunks)
         self._learn(new)
@@ -142,11 +144,12 @@ def _byte_slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts
 
 
-def _local(path: str, capacity: int, end_id: int):
+def _local(path: str, capacity: int, end_id: int, warm: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
+        tokenizer.limit = CACHE_ENTRIES if warm else TASK_ENTRIES
         base = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         used = 0
@@ -173,9 +176,9 @@ def _local(path: str, capacity: int, end_id: int):
                         yield packed()
         if rows:
             yield packed()
-        # workers are reused by later stages, which need the memory more than this one needs a warm start
-        tokenizer.known.clear()
-        pa.default_memory_pool().release_unused()
+        if not warm:
+            tokenizer.known.clear()
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -197,7 +200,7 @@ def _merge(capacity: int, full: float):
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, warm: bool = True
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
@@ -205,11 +208,12 @@ def pack(
     the end id alone. Documents longer than ``capacity`` are cut into pieces
     of that length, the last being shorter. Rows that repeat are packed each
     for itself; ids may be null. Other columns are ignored; an empty table
-    gives no pieces.
+    gives no pieces. Workers are reused by other stages: ``warm=False`` gives
+    the remembered chunks back at a task's end.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long, bin long, at long, fill long"
-    pieces = stage(source.mapInArrow(_local(tokenizer_path, capacity, end_id), schema), "pieces")
+    pieces = stage(source.mapInArrow(_local(tokenizer_path, capacity, end_id, warm), schema), "pieces")
     bins = pieces.select("bin", "fill").distinct().where(F.col("fill") < NEARLY_FULL[0] * capacity)
     top = bins.agg(F.max(F.shiftright("bin", 32))).first()[0]
     moved, level, groups = None, 0, None
