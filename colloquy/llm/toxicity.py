@@ -1,6 +1,7 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Method: words are modelled symbol by symbol, given up to ``ORDER - 1``
+Method: words (runs without Unicode white space, whole, in training and in
+scoring alike) are modelled symbol by symbol, given up to ``ORDER - 1``
 symbols of the same word. The toxic and the ordinary model discount their own
 counts and hand the freed mass to one shared Kneser-Ney backoff estimated
 from both, so an expression that is rare, or that only resembles one seen
@@ -25,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,12 @@ MAX_GRAMS = 300_000
 STRETCHES = (1, 3, 12)
 CACHE_ENTRIES = 300_000
 SLICE_BYTES = 1 << 20
+#: Symbols whose hashes are held at a time.
+BLOCK_SYMBOLS = 1 << 20
+#: Distinct n-grams after which a task hands on the counts it holds.
+FLUSH_GRAMS = 500_000
+#: White space as ``str.split`` has it, beyond what separates words in ``words.py``.
+_OTHER_SPACE = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 FOLDS = ("t0", "t1", "o0", "o1")
 
 
@@ -56,9 +64,16 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic, fold in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
             slot = (0 if toxic else 2) + fold
             for word, n in Counter((text or "").lower().split()).items():
-                for gram in grams_of(word[:200]):
+                for gram in grams_of(word):
                     counts[gram][slot] += n
-        yield pa.record_batch([pa.array(list(counts)), *(pa.array(c, pa.int64()) for c in (zip(*counts.values(), strict=True) if counts else ([],) * 4))], ["gram", *FOLDS])
+            if len(counts) > FLUSH_GRAMS:
+                yield _count_batch(counts)
+                counts.clear()
+        yield _count_batch(counts)
+
+
+def _count_batch(counts: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in (zip(*counts.values(), strict=True) if counts else ([],) * 4))], ["gram", *FOLDS])
 
 
 def _shared(grams: dict[str, float]) -> Callable[[str], float]:
@@ -155,13 +170,23 @@ def word_evidence(model: Model, words: list[bytes]) -> np.ndarray:
     """Log-likelihood difference of each word."""
     if not words:
         return np.zeros(0)
-    text = "\n" + "\n".join([w.decode()[:200].lower() for w in words]) + "\n"
-    symbols = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    text = "\n" + "\n".join([w.decode().lower() for w in words]) + "\n"
+    symbols = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(symbols == 10)
+    value = np.empty(len(symbols) - 1)
+    for a in range(1, len(symbols), BLOCK_SYMBOLS):
+        b, before = min(a + BLOCK_SYMBOLS, len(symbols)), max(a - ORDER, 0)
+        value[a - 1 : b - 1] = _symbol_evidence(model, symbols[before:b].astype(np.uint64))[a - before - 1 :]
+    return np.add.reduceat(value, ends[:-1])
+
+
+def _symbol_evidence(model: Model, symbols: np.ndarray) -> np.ndarray:
+    """Log-likelihood difference of each symbol but the first; those that have ``ORDER`` symbols before them, or the mark that opens their word, are exact."""
     mark = symbols == 10
-    opens = np.maximum.accumulate(np.where(mark, np.arange(len(symbols)), 0))
+    opens = np.maximum.accumulate(np.where(mark, np.arange(len(symbols)), -ORDER))
     opens = np.concatenate(([0], opens[:-1]))  # the mark that opens the word of each later symbol
     at = np.arange(1, len(symbols))
-    depth = np.minimum(at - opens[1:] + 1, ORDER)
+    depth = np.minimum(np.minimum(at - opens[1:] + 1, at + 1), ORDER)
     # h[k]: hash of the k symbols that end at each place
     h = [np.zeros(len(symbols), np.uint64)]
     for _ in range(ORDER):
@@ -171,9 +196,7 @@ def word_evidence(model: Model, words: list[bytes]) -> np.ndarray:
     gram, context = table[depth, at], table[depth - 1, at - 1]
     hit, value = _lookup(model.gram_keys, model.gram_values, gram)
     _, default = _lookup(model.context_keys, model.context_values, context)
-    value = np.where(hit, value, default)
-    ends = np.flatnonzero(mark)
-    return np.add.reduceat(value, ends[:-1])
+    return np.where(hit, value, default)
 
 
 def _features(evidence: np.ndarray) -> list[float]:
@@ -190,7 +213,7 @@ def _features(evidence: np.ndarray) -> list[float]:
 
 
 def _evidence_of(model: Model, column: pa.Array, memory: dict[int, float]) -> Iterator[tuple[int, list[list[float]]]]:
-    for part in W.slices(column, SLICE_BYTES):
+    for part in W.slices(pc.replace_substring_regex(column, _OTHER_SPACE, " "), SLICE_BYTES):
         hashes, first, back = np.unique(part.hashes, return_index=True, return_inverse=True)
         keys = hashes.tolist()
         new = [i for i, k in enumerate(keys) if k not in memory]

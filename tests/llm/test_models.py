@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +72,42 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() == []
 
 
+def test_toxicity_reads_whole_runs_and_splits_alike(spark):
+    docs, labels = labelled()
+    plain = "aeio ulnr " * 60
+    runs = {
+        9100: "aeioulnrst" * 40 + "vorlaxen" * 30,  # behind the 200th symbol of a run
+        9101: "aeioulnrst" * 40,
+        9102: (plain + "vorlaxen grimstos").replace(" ", "\u00a0"),
+        9103: plain + "vorlaxen grimstos",
+        9104: (plain + "vorlaxen grimstos").replace(" ", "\u3000"),
+    }
+    d = spark.createDataFrame(docs + list(runs.items()), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.score(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert found[9100] > 5 * found[9101]
+    assert found[9102] == found[9103] == found[9104]
+
+
+def test_toxicity_learns_whole_runs():
+    batch = pa.record_batch([pa.array(["x" * 300 + "qyz"]), pa.array([1]), pa.array([0])], ["text", "toxic", "fold"])
+    grams = {g for b in toxicity._gram_counts(iter([batch])) for g in b.column("gram").to_pylist()}
+    assert "xxxqyz" in grams and "xxqyz\n" in grams
+
+
+def test_evidence_does_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abc"), n)).encode() for n in (1, 2, 7, 40, 5, 300)]
+    grams = sorted({g for w in words for g in toxicity.grams_of(w.decode())})
+    keys = np.sort(toxicity.hash_grams(grams))
+    model = toxicity.Model(keys, rng.normal(size=len(keys)), np.zeros(0, np.uint64), np.zeros(0))
+    whole = toxicity.word_evidence(model, words)
+    value = dict(zip(keys.tolist(), model.gram_values, strict=True))
+    expected = [sum(value[int(h)] for h in toxicity.hash_grams(list(toxicity.grams_of(w.decode())))) for w in words]
+    assert np.allclose(whole, expected)
+    monkeypatch.setattr(toxicity, "BLOCK_SYMBOLS", 11)
+    assert np.allclose(toxicity.word_evidence(model, words), expected)
+
+
 # ----------------------------------------------------------- personal data
 
 
