@@ -12,16 +12,14 @@ stretches of a fixed number of words; a logistic calibration, fitted on
 documents whose own counts were held out, turns it into a score.
 
 The fit uses a bounded sample of labelled rows (``MAX_DOCS``, chosen by a
-hash of the id) and at most ``MAX_GRAMS`` n-grams (the rarest are left out,
-all of one count together), so the model that is sent to the workers has a
-bounded size whatever the corpus.
+hash of the id) and every n-gram of theirs. Its estimates are made in numpy
+arrays, and workers get hashes and values alone.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,20 +30,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import stage
 
 ORDER = 6
 DISCOUNT = 0.75
 MAX_DOCS = 20_000
-MAX_GRAMS = 300_000
 #: Words in a stretch whose mean decides how toxic its worst part is.
 STRETCHES = (1, 3, 12)
 CACHE_ENTRIES = 300_000
 SLICE_BYTES = 1 << 20
 #: Symbols whose hashes are held at a time.
-BLOCK_SYMBOLS = 1 << 20
+BLOCK_SYMBOLS = 1 << 17
 #: Distinct n-grams after which a task hands on the counts it holds.
-FLUSH_GRAMS = 500_000
+FLUSH_GRAMS = 100_000
 #: White space as ``str.split`` has it, beyond what separates words in ``words.py``.
 _OTHER_SPACE = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 FOLDS = ("t0", "t1", "o0", "o1")
@@ -76,34 +72,6 @@ def _count_batch(counts: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(counts), pa.string()), *(pa.array(c, pa.int64()) for c in (zip(*counts.values(), strict=True) if counts else ([],) * 4))], ["gram", *FOLDS])
 
 
-def _shared(grams: dict[str, float]) -> Callable[[str], float]:
-    """Interpolated Kneser-Ney probability of a gram's last symbol, estimated from both classes."""
-    levels: list[dict[str, float]] = [{} for _ in range(ORDER + 1)]
-    for g, n in grams.items():
-        levels[len(g)][g] = levels[len(g)].get(g, 0) + n
-    for k in range(ORDER, 1, -1):
-        for g in list(levels[k]):
-            s = g[1:]
-            if s[0] != "\n" or len(s) == 1:
-                levels[k - 1][s] = levels[k - 1].get(s, 0) + 1  # continuation: contexts, not tokens
-    total, kinds = Counter(), Counter()
-    for k in range(1, ORDER + 1):
-        for g, n in levels[k].items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-    known: dict[str, float] = {}
-    alphabet = len(levels[1]) + 1
-
-    def p(g: str) -> float:
-        if g not in known:
-            below = p(g[1:]) if len(g) > 1 else 1 / alphabet
-            n = total.get(g[:-1], 0)
-            known[g] = (max(levels[len(g)].get(g, 0) - DISCOUNT, 0) + DISCOUNT * kinds[g[:-1]] * below) / n if n else below
-        return known[g]
-
-    return p
-
-
 class Model(NamedTuple):
     """Log-likelihood difference by hashed gram, and by hashed context for grams unseen after it."""
 
@@ -113,30 +81,72 @@ class Model(NamedTuple):
     context_values: np.ndarray
 
 
-def train(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    p = _shared({g: t + o for g, t, o in zip(grams, toxic, ordinary, strict=True) if t + o})
-    sums: list[Counter] = [Counter(), Counter()]
-    kinds: list[Counter] = [Counter(), Counter()]
-    for g, *n in zip(grams, toxic, ordinary, strict=True):
-        for c in (0, 1):
-            if n[c]:
-                sums[c][g[:-1]] += n[c]
-                kinds[c][g[:-1]] += 1
-
-    def conditional(c: int, n: float, h: str, shared: float) -> float:
-        if not sums[c][h]:
-            return shared
-        return (max(n - DISCOUNT, 0) + DISCOUNT * kinds[c][h] * shared) / sums[c][h]
-
-    values = []
-    for g, t, o in zip(grams, toxic, ordinary, strict=True):
-        shared, h = p(g), g[:-1]
-        values.append(math.log(conditional(0, t, h, shared) / conditional(1, o, h, shared)) if t + o else 0.0)
-    contexts = sorted(set(sums[0]) & set(sums[1]))  # known to one class only: the other has the shared estimate alone
-    defaults = [math.log(kinds[0][h] * sums[1][h] / (sums[0][h] * kinds[1][h])) for h in contexts]
-    keys, back = hash_grams(grams), hash_grams(contexts)
-    a, b = np.argsort(keys), np.argsort(back)
-    return Model(keys[a], np.array(values)[a], back[b], np.array(defaults, np.float64)[b])
+class _Shared(NamedTuple):
+    """N-grams of one length with their shared counts; ``below`` is each one's place, less its first symbol, in the next shorter length."""
+
+    symbols: np.ndarray
+    count: np.ndarray
+    below: np.ndarray
+
+
+def _shared(symbols: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Interpolated Kneser-Ney probability of each n-gram's last symbol, by length, estimated from both classes."""
+    levels: list[_Shared] = []
+    longer, times = np.zeros((0, ORDER), np.uint32), np.zeros(0)
+    for k in range(ORDER, 0, -1):
+        every = np.concatenate((symbols[k], longer))  # a text's own grams of fewer symbols open a word, the others do not
+        count = np.concatenate((counts[k], times))
+        _, first, back, n = np.unique(hash_symbols(every[:, 1:]), return_index=True, return_inverse=True, return_counts=True)
+        longer, times = every[first, 1:], n.astype(np.float64)  # continuation: contexts, not tokens
+        levels.append(_Shared(every, count, back + (len(symbols[k - 1]) if k > 1 else 0)))
+    out: list[np.ndarray] = []
+    below = np.array([1 / (len(levels[-1].count) + 1)])
+    for level in reversed(levels):
+        _, context = np.unique(hash_symbols(level.symbols[:, :-1]), return_inverse=True)
+        total, kinds = np.bincount(context, level.count), np.bincount(context)
+        below = (np.maximum(level.count - DISCOUNT, 0) + DISCOUNT * kinds[context] * below[level.below]) / total[context]
+        out.append(below)
+    return [np.zeros(0), *(p[: len(symbols[k])] for k, p in enumerate(out, 1))]
+
+
+def train(grams: pa.Array, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+    used = toxic + ordinary > 0
+    size = pc.utf8_length(grams).to_numpy(zero_copy_only=False)
+    place = [np.flatnonzero(used & (size == k)) for k in range(ORDER + 1)]
+    symbols = [_symbols(grams, at, k) for k, at in enumerate(place)]
+    shared = _shared(symbols, [toxic[at] + ordinary[at] for at in place])
+    # n-grams that only the other fold has are unseen, as they would be in scoring
+    keys, values = [], []
+    back, defaults = [], []
+    for k in range(1, ORDER + 1):
+        contexts, context = np.unique(hash_symbols(symbols[k][:, :-1]), return_inverse=True)
+        own, mass = [], []
+        for n in (toxic[place[k]], ordinary[place[k]]):
+            total, kinds = np.bincount(context, n, len(contexts)), np.bincount(context, n > 0, len(contexts))
+            known = total[context] > 0
+            smoothed = np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[context] * shared[k]
+            own.append(np.where(known, smoothed / np.where(known, total[context], 1), shared[k]))
+            mass.append((total, kinds))
+        keys.append(hash_symbols(symbols[k]))
+        values.append(np.log(own[0] / own[1]))
+        (t, a), (o, b) = mass
+        both = (t > 0) & (o > 0)  # known to one class only: the other has the shared estimate alone
+        back.append(contexts[both])
+        defaults.append(np.log(a[both] * o[both] / (t[both] * b[both])))
+    return Model(*_by_key(keys, values), *_by_key(back, defaults))
+
+
+def _by_key(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _symbols(grams: pa.Array, at: np.ndarray, size: int) -> np.ndarray:
+    """(n-grams, size) code points of the n-grams at some places, all of one size."""
+    raw, offsets = W.string_buffers(grams.take(pa.array(at)))
+    text = raw[offsets[0] : offsets[-1]].tobytes().decode()
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(at), size)
 
 
 def _step(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -144,17 +154,20 @@ def _step(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         return W.mix64(before * np.uint64(0x9E3779B97F4A7C15) + symbol + np.uint64(1))
 
 
+def hash_symbols(symbols: np.ndarray) -> np.ndarray:
+    """The hash of each row of code points."""
+    h = np.zeros(len(symbols), np.uint64)
+    for k in range(symbols.shape[1]):
+        h = _step(h, symbols[:, k].astype(np.uint64))
+    return h
+
+
 def hash_grams(grams: list[str]) -> np.ndarray:
     out = np.zeros(len(grams), np.uint64)
     size = np.array([len(g) for g in grams], np.int64)
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        h = np.zeros(len(at), np.uint64)
-        if n:
-            symbols = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-            for k in range(n):
-                h = _step(h, symbols[:, k].astype(np.uint64))
-        out[at] = h
+        out[at] = hash_symbols(np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n))
     return out
 
 
@@ -299,18 +312,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = source.join(F.broadcast(sample), "doc_id").select("text", "toxic", fold.alias("fold"))
     counts = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} long" for c in FOLDS))
     sums = counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in FOLDS))
-    sums = stage(sums.withColumn("n", F.expr("t0 + t1 + o0 + o1")), "grams")
-    least, room = 1_001, MAX_GRAMS
-    for r in sums.groupBy(F.least("n", F.lit(1_000)).alias("n")).count().orderBy(F.desc("n")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["n"]
-    top = sums.where(F.col("n") >= least).toArrow()
+    top = sums.toArrow()
     t, o = (np.column_stack([top[c].to_numpy() for c in cs]).astype(np.float64) for cs in (FOLDS[:2], FOLDS[2:]))
     if not (t.sum(axis=0).all() if len(t) else False) or not o.sum(axis=0).all():
         return None, None
-    grams = top["gram"].to_pylist()
+    grams = top["gram"].combine_chunks()
     halves = tuple(train(grams, t[:, f], o[:, f]) for f in (0, 1))
     features = rows.mapInArrow(_fold_features(halves), "toxic int, x array<double>").toArrow()
     x = _prepared(np.array(features["x"].to_pylist()))

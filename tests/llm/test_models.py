@@ -108,6 +108,65 @@ def test_evidence_does_not_depend_on_blocks(monkeypatch):
     assert np.allclose(toxicity.word_evidence(model, words), expected)
 
 
+def brute_model(counts):
+    """{gram: log-likelihood difference} and {context: default} of {gram: (toxic, ordinary)}, by recursion."""
+    levels = [Counter() for _ in range(toxicity.ORDER + 1)]
+    for g, n in counts.items():
+        levels[len(g)][g] += sum(n)
+    for k in range(toxicity.ORDER, 1, -1):
+        for g in levels[k]:
+            levels[k - 1][g[1:]] += 1
+    total, kinds = Counter(), Counter()
+    for level in levels:
+        for g, n in level.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / (len(levels[1]) + 1)
+        return (max(levels[len(g)][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * kinds[g[:-1]] * below) / total[g[:-1]]
+
+    sums, own = (Counter(), Counter()), (Counter(), Counter())
+    for g, n in counts.items():
+        for c in (0, 1):
+            sums[c][g[:-1]] += n[c]
+            own[c][g[:-1]] += n[c] > 0
+
+    def conditional(c, g):
+        h = g[:-1]
+        return (max(counts[g][c] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * own[c][h] * p(g)) / sums[c][h] if sums[c][h] else p(g)
+
+    values = {g: math.log(conditional(0, g) / conditional(1, g)) for g in counts}
+    return values, {h: math.log(own[0][h] * sums[1][h] / (sums[0][h] * own[1][h])) for h in sums[0] if sums[0][h] and sums[1][h]}
+
+
+def test_toxicity_estimates_equal_brute_force():
+    rng = np.random.default_rng(6)
+    counts = {}
+    for _ in range(400):
+        word = "".join(rng.choice(list("abcé🙂"), rng.integers(1, 12)))
+        for g in toxicity.grams_of(word):
+            n = counts.setdefault(g, [0, 0])
+            n[rng.integers(0, 2)] += 1
+    values, defaults = brute_model(counts)
+    grams = [*counts, "\nzz", "zzzzzz"]
+    t, o = (np.array([*(n[c] for n in counts.values()), 0, 0], np.float64) for c in (0, 1))
+    model = toxicity.train(pa.array(grams), t, o)
+    found = dict(zip(model.gram_keys.tolist(), model.gram_values, strict=True))
+    assert len(found) == len(values) and all(abs(found[int(h)] - values[g]) < 1e-9 for g, h in zip(values, toxicity.hash_grams(list(values)), strict=True))
+    back = dict(zip(model.context_keys.tolist(), model.context_values, strict=True))
+    assert len(back) == len(defaults) and all(abs(back[int(h)] - defaults[g]) < 1e-9 for g, h in zip(defaults, toxicity.hash_grams(list(defaults)), strict=True))
+
+
+def test_toxicity_keeps_rare_grams(spark):
+    rng = np.random.default_rng(7)
+    docs = [(i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1200))) for i in range(500)]
+    grams = {g for i, t in docs if zlib.crc32(str(i).encode()) % 5 for g in toxicity.grams_of(t)}
+    assert len(grams) > 400_000
+    model, _ = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 3 == 0) for i, _ in docs], "doc_id long, toxic boolean"))
+    assert len(model.gram_keys) == len(grams)
+
+
 # ----------------------------------------------------------- personal data
 
 
