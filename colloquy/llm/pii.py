@@ -4,7 +4,7 @@ Method: regular expressions propose spans, checksum validators (Luhn for
 cards, mod 97 for account numbers) and range rules confirm them, and words
 near a span adjust its score. Base spans are kept whatever their score; the
 score decides about the proposals that this operator adds: account numbers
-(``iban``) whose checksum holds, and numbers in national phone notation
+(``iban``) whose checksum holds, whatever follows them, and numbers in national phone notation
 (``local_phone``), which count only where a context word raises them to
 ``LEAST_SCORE``.
 
@@ -41,7 +41,7 @@ CARD = Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]
 PHONE = Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "call|phone|tel|fax|mobile|anruf", 0.8)
 BASE = (EMAIL, IP, CARD, PHONE)
 # The kinds that the method adds.
-IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "iban|account|bank|konto|compte|cuenta", 0.8)
+IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", "iban|account|bank|konto|compte|cuenta", 0.8)  # the head alone, see _accounts
 LOCAL_PHONE = Kind("local_phone", r"(?<![0-9A-Za-z+().-])(?<![0-9+).-] )\(?0?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])(?![ .-][0-9])", "call|phone|tel|fax|mobile|anruf", 0.3)
 ADDED = (IBAN, LOCAL_PHONE)
 PLAIN = {
@@ -51,6 +51,13 @@ PLAIN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
+#: Characters of an account number without spaces, and the usual number by country.
+ACCOUNT_SIZES = (15, 34)
+_USUAL = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()
+
 #: Code points before and after a span in which context words count.
 NEARBY = 40
 CONTEXT_BONUS = 0.4
@@ -87,11 +94,45 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(9, 15)
     if kind == "local_phone":
         return F.length(_digits(match)).between(9, 11)
-    if kind == "iban":
-        return mod_97(F.replace(match, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 
+def _accounts(text: Column, heads: Column) -> Column:
+    """Account numbers (array<struct<start,end,match>>) that begin at some heads and whose checksum holds, none inside another.
+
+    Capitals and digits may follow a number, so each prefix of allowed size
+    that ends where a word does is tested: the country's usual size counts
+    first, then the longest.
+    """
+    least, most = ACCOUNT_SIZES
+    usual = F.create_map(*(F.lit(x) for u in _USUAL for x in (u[:2], int(u[2:]))))
+
+    def account(start: Column) -> Column:
+        window = F.substring(text, start + 1, F.lit(2 * most))  # with the spaces, and the character after it
+        sizes = F.sequence(F.lit(least), F.lit(most))
+        prefixes = F.transform(
+            sizes,
+            lambda n: F.struct(
+                F.coalesce(F.try_element_at(usual, F.substring(window, 1, 2)) == n, F.lit(False)).alias("usual"),
+                n.alias("size"),
+                F.regexp_substr(window, F.concat(F.lit("^[A-Z0-9](?: ?[A-Z0-9]){"), (n - 1).cast("string"), F.lit("}(?![A-Za-z0-9])"))).alias("match"),
+            ),
+        )
+        return F.array_max(F.filter(prefixes, lambda p: p["match"].isNotNull() & mod_97(F.replace(p["match"], F.lit(" "), F.lit("")))))["match"]
+
+    tried = F.filter(F.transform(heads, lambda s: F.struct(s["start"].alias("start"), account(s["start"]).alias("match"))), lambda s: s["match"].isNotNull())
+    return F.aggregate(
+        tried,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found")),
+        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
+            F.struct(
+                (s["start"] + F.char_length(s["match"])).alias("at"),
+                F.concat(acc["found"], F.array(F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["match"])).alias("end"), s["match"].alias("match")))).alias("found"),
+            )
+        ),
+    )["found"]
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """array<struct<kind,start,end,score>> of one kind's confirmed proposals, by start."""
     pattern = F.lit(kind.pattern)
@@ -108,6 +149,8 @@ def _spans(text: Column, kind: Kind) -> Column:
             ).otherwise(acc["found"]).alias("found"),
         ),
     )["found"]
+    if kind.name == "iban":
+        at = _accounts(text, at)
     return F.transform(
         F.filter(at, lambda s: _valid(kind.name, s["match"])),
         lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(text, kind, s).alias("score")),

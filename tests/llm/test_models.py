@@ -221,6 +221,28 @@ def test_checksums_and_context(spark):
     assert found == {0: ["iban"], 1: [], 2: ["iban"], 3: ["local_phone"], 4: []}
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        (f"IBAN {de} BIC COBADEFFXXX", [de]),
+        (f"{de} Bank", [de]),
+        (f"{gb} BIC: X", [gb]),
+        (f"{de} I am", [de]),
+        (f"🙂é {spaced} 2 days", [spaced]),
+        (f"{de} {gb} AND {spaced} THEN 1234 5678 9012 3456 7890", [de, gb, spaced]),
+        (f"PART AB12 {de}", [de]),
+        (f"AB12 {spaced}", [spaced]),
+        (f"NO9386011117947 OSLO {de}.", ["NO9386011117947", de]),
+        (f"{de}A {de}a x{de} {de[:-1]}1 BIC", []),
+        ("MT84MALT011000012345MTLCAST001S MALTA", ["MT84MALT011000012345MTLCAST001S"]),
+    ]
+    rows = pii.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    found = {r.doc_id: [cases[r.doc_id][0][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in rows}
+    assert found == {i: e for i, (_, e) in enumerate(cases)}
+    out = pii.redact(spark.createDataFrame([(f"to {de} BIC COBADEFFXXX",)], "text string"))
+    assert out.collect()[0][0] == "to [IBAN] BIC COBADEFFXXX"
+
+
 def test_redaction_and_native_plan(spark):
     rows = [(1, "a a@b.co b 1.2.3.4", 7), (2, None, 7), (3, "clean", 7), (4, "+1 (988) 555-2485", 7)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n int")
