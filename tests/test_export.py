@@ -222,3 +222,12 @@ def test_cli(spark, export, tmp_path, capsys):
 def test_cli_defaults():
     a = cli.parser().parse_args(["-i", "a", "-o", "b"])
     assert (a.format, a.adapter, a.dedup_threshold, a.signal_min, a.max_age_days, a.stats, a.dry_run, a.now) == (OutputFormat.JSONL, None, 0.85, 0.2, 1095, False, False, None)
+
+
+def test_chatgpt_scan_reads_late_turns(spark, tmp_path):
+    from colloquy import catalog
+
+    turns = [(5, t, "user", f"text {t}") for t in (2**20, 2**20 + 1)] + [(6, 0, "user", "first")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.id for r in catalog.chatgpt_scan(spark, str(tmp_path)).collect()}
+    assert found == {f"c5:m{2**20}", f"c5:m{2**20 + 1}", "c6:m0"}
