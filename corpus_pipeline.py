@@ -36,19 +36,25 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more.
+    """One row of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more.
 
-    Of rows that repeat an id, the one with the smallest text stays; rows with
+    Rows are compared and decided one by one, so rows that share an id stay
+    unless their texts are near-duplicates too; of a group the row with the
+    smallest id stays. Blank texts go only where id and text repeat; rows with
     a null id all stay.
     """
-    docs = docs.select(*COLUMNS)
-    found = stage(neardup.near_duplicates(docs), "near-duplicates")
-    gone = stage(found.where("not kept").select("doc_id").distinct(), "gone")
-    often = stage(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "often")
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    once = kept.join(small(often), "doc_id", "left_anti")
-    again = kept.join(small(often), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return once.select(*COLUMNS).unionByName(again.select("doc_id", "row.*").select(*COLUMNS))
+    key = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    docs = stage(docs.select(*COLUMNS).withColumn("__row", key), "rows")
+    found = stage(neardup.near_duplicates(docs, "__row").where("doc_id is not null").select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component")), "near-duplicates")
+    several = stage(found.where("component is not null").groupBy("component").agg(F.count("*").alias("c")).where("c > 1").select("component"), "several")
+    blank = found.where("component is null")
+    members = stage(found.join(small(several), "component").select("__row", "component").unionByName(blank.select("__row", "component")), "members")
+    group = F.coalesce(F.col("component").cast("string"), F.concat_ws(":", "doc_id", F.coalesce(F.md5("text"), F.lit("")), F.lit("blank")))
+    order = F.struct("doc_id", F.md5("text").alias("text"), "lang", "source", "__row")
+    ranked = stage(docs.join(small(members), "__row").select(group.alias("group"), order.alias("place")), "ranked")
+    first = ranked.groupBy("group").agg(F.min("place").alias("place")).select(F.col("place.__row").alias("__row"))
+    gone = stage(ranked.select(F.col("place.__row").alias("__row")).join(first, "__row", "left_anti"), "gone")
+    return docs.join(small(gone), "__row", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

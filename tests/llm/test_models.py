@@ -374,3 +374,16 @@ def test_pipeline_takes_effect_stage_by_stage(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     assert key(again) == key(packed)
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta theta", "iota kappa lambda mu nu xi omicron pi rho", "sigma tau upsilon phi chi psi omega aleph bet")
+    rows = [
+        (1, one), (9, one), (9, two), (9, three),  # only the near-duplicate of 1 goes
+        (4, three + " gimel dalet he vav"), (7, two), (7, two),  # of equal rows one stays, unless a smaller id has it
+        (3, ""), (3, ""), (3, " "), (2, None), (2, None), (5, ""),
+        (None, one), (None, one),
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "site", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()), key=str)
+    assert found == sorted([(1, one), (9, three), (4, three + " gimel dalet he vav"), (7, two), (3, ""), (3, " "), (2, None), (5, ""), (None, one), (None, one)], key=str)
