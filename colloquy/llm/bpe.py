@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
@@ -137,7 +139,7 @@ class ByteBPE:
         for chunks in (self._ids, self._spans):
             chunks.known.clear()
             chunks.spaced.clear()
-        pa.default_memory_pool().release_unused()
+        release()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.table.__getitem__, ids))
@@ -264,6 +266,7 @@ def _encode(path: str, pattern: str):
                     starts.append(a)
                     ends.append(b)
                 yield pa.record_batch([batch.column("doc_id").slice(first, len(texts)), *(pa.array(x, pa.list_(t)) for x, t in ((ids, pa.int32()), (starts, pa.int64()), (ends, pa.int64())))], ["doc_id", "ids", "starts", "ends"])
+        bpe.forget()
 
     return run
 

@@ -1,69 +1,142 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
-Method: hierarchical residual packing. Each partition packs its own pieces
+Method: hierarchical residual packing. Each task packs its own pieces
 best-fit (longest first, into the fullest bin with room) while it tokenises;
-bins that are nearly full are final. The others become items: groups of
-``FAN_IN`` partitions merge theirs by further best-fit rounds, up a tree,
-until one group is left. Only (bin, fill) rows travel.
-
-A group passes on at most ``PASS_ON`` bins, those with most room; the bins
-beyond that have been tried against thousands of others and stay as they
-are. No piece is ever dropped or cut to fit.
+bins that are nearly full are final. What a task could not pack nearly full
+becomes items, each piece a bin of its own: groups of ``FAN_IN`` tasks merge
+theirs by a further best-fit round, up a tree. Only nearly full results are
+final there too, the others stay the items they were made of, so no level
+spoils the choice of the next; the root accepts every bin.
+
+A merge sees counts, not rows: how many items of each length each child has,
+at most ``FAN_IN * capacity`` counts however many items there are. Items of
+one length are alike, so the plan says which ranks go where, in intervals, and
+items find their place by a join on (child, length) and rank.
 """
 
 from __future__ import annotations
 
-import functools
 import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import cut_bytes
-from .shared import small, stage
+from .shared import release, small, stage
 
 CAPACITY = 4096
-FAN_IN = 16
-PASS_ON = 4096
-#: Fill from which a bin is final, by round (the last holds from there on).
-NEARLY_FULL = (0.998, 0.99, 0.98, 0.95)
-#: Pieces that one task packs together.
-LOCAL_PIECES = 200_000
-#: Chunks a worker remembers: from task to task, or (``warm=False``) within a task.
-CACHE_ENTRIES, TASK_ENTRIES = 1_300_000, 800_000
-SLICE_BYTES = 1 << 21
-
-
-def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
-    """(bin, offset) of each length and each bin's fill: best-fit, longest first."""
-    where, offset, fills = [0] * len(lengths), [0] * len(lengths), []
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    free = 0  # bit r is set while some bin has r tokens of room
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
-        fitting = free >> n
-        if n and fitting:
-            r = n + (fitting & -fitting).bit_length() - 1
-            b = room[r].pop()
-            if not room[r]:
-                free &= ~(1 << r)
-        else:
-            b, r = len(fills), capacity
-            fills.append(0)
-        where[i], offset[i] = b, fills[b]
-        fills[b] += n
-        left = r - n
-        if left:
-            room[left].append(b)
-            free |= 1 << left
-    return where, offset, fills
+#: Children of a merge, as a number of bits.
+FAN_BITS = 4
+FAN_IN = 1 << FAN_BITS
+#: Share of the capacity from which a bin is final.
+NEARLY_FULL = 0.999
+#: Pieces that one task packs together, as a number of bits.
+LOCAL_BITS = 18
+#: Bytes of remembered chunks (with what the memory itself costs) after which a task starts afresh.
+MEMORY_BYTES = 48 << 20
+SLICE_BYTES = 1 << 20
+_ENTRY_BYTES = 180
+
+
+class Plan(NamedTuple):
+    """Moves: items [item, item + n) go to bins [bin, bin + n) at ``offset``. Final bins: [first, first + n) with ``fill``."""
+
+    item: np.ndarray
+    n: np.ndarray
+    bin: np.ndarray
+    offset: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    fill: np.ndarray
+
+
+def best_fit(sizes: list[int], counts: list[int], capacity: int) -> Plan:
+    """Best-fit, longest first, of ``counts[i]`` items of ``sizes[i]`` (descending, up to ``capacity``).
+
+    Items are numbered in this order. Open bins are kept as intervals of equal
+    room, so the work follows the number of different sizes.
+    """
+    moves: list[tuple[int, int, int, int]] = []
+    rooms: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    free, bins, item = 0, 0, 0  # bit r of ``free`` is set while some bin has r tokens of room
+
+    def put(first: int, n: int, room: int) -> None:
+        nonlocal free
+        rooms[room].append((first, n))
+        free |= 1 << room
+
+    for size, left in zip(sizes, counts, strict=True):
+        while left:
+            fitting = free >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first, n = rooms[room].pop()
+                if not rooms[room]:
+                    free &= ~(1 << room)
+            else:
+                room, first, n = capacity, bins, -(-left // (capacity // size))
+                bins += n
+            each = room // size
+            whole = min(left // each, n)  # bins that take as many as fit
+            for k in range(each if whole else 0):
+                moves.append((item + k * whole, whole, first, capacity - room + k * size))
+            if whole:
+                put(first, whole, room - each * size)
+            item, left, first, n = item + each * whole, left - each * whole, first + whole, n - whole
+            if n and 0 < left < each:
+                moves += [(item + k, 1, first, capacity - room + k * size) for k in range(left)]
+                put(first, 1, room - left * size)
+                item, left, first, n = item + left, 0, first + 1, n - 1
+            if n:
+                put(first, n, room)
+    closed = np.array(sorted((first, n, capacity - room) for room, some in enumerate(rooms) for first, n in some), np.int64).reshape(-1, 3)
+    return Plan(*np.array(moves, np.int64).reshape(-1, 4).T, *closed.T)
+
+
+def _cut(first: np.ndarray, n: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals [first, first + n) cut at sorted points: (interval, first, n) of the parts."""
+    a, b = np.searchsorted(points, first, "right"), np.searchsorted(points, first + n, "left")
+    parts = b - a + 1
+    of = np.repeat(np.arange(len(first)), parts)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    inner = np.concatenate((points, [0]))
+    start = np.where(place == 0, first[of], inner[a[of] + place - 1])
+    end = np.where(place == parts[of] - 1, (first + n)[of], inner[np.minimum(a[of] + place, len(points))])
+    return of, start, end - start
+
+
+def _ranks(kind: np.ndarray) -> np.ndarray:
+    """The rank of each item among those of its kind, in order."""
+    order = np.argsort(kind, kind="stable")
+    kinds, start = np.unique(kind[order], return_index=True)
+    rank = np.empty(len(kind), np.int64)
+    rank[order] = np.arange(len(kind)) - start[np.searchsorted(kinds, kind[order])]
+    return rank
+
+
+def pack_items(lengths: np.ndarray, capacity: int, full: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, rank) of each item; those in bins below ``full`` are taken out again, into bins of their own, and have a rank among those of their length (others -1)."""
+    kinds, counts = np.unique(-lengths, return_counts=True)
+    plan = best_fit((-kinds).tolist(), counts.tolist(), capacity)
+    where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    within = np.arange(len(lengths)) - np.repeat(np.cumsum(plan.n) - plan.n, plan.n)
+    items = np.argsort(-lengths, kind="stable")[np.repeat(plan.item, plan.n) + within]
+    where[items] = np.repeat(plan.bin, plan.n) + within
+    offset[items] = np.repeat(plan.offset, plan.n)
+    open_ = plan.fill[np.searchsorted(plan.first, where, "right") - 1] < full * capacity
+    offset[open_] = 0
+    where[open_] = plan.count.sum() + np.arange(np.count_nonzero(open_))
+    rank = np.full(len(lengths), -1)
+    rank[open_] = _ranks(lengths[open_])
+    return where, offset, rank
 
 
 _STOPS = frozenset(b",.;:!?")
@@ -71,170 +144,244 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 class WordTokenizer:
-    """A lower-casing ``tokenizers`` file whose tokens never span ASCII white space.
-
-    So each chunk between white space is encoded once. Three more exact
-    shortcuts raise the number of chunks that are already known: A-Z may be
-    lower-cased first unless combining marks follow (they could compose
-    differently), a single stop after an ASCII letter is a token of its own,
-    and so is all that comes before it.
+    """A lower-casing ``tokenizers`` file whose tokens end words and never span ASCII white space.
+
+    So each chunk between white space is encoded once. Exact shortcuts: A-Z
+    are lower-cased first, but in texts with combining marks (they could
+    compose differently) or with what may open an added token (those match
+    before lower-casing); a single stop after an ASCII letter is a token of its own,
+    and so is all that comes before it; words of lower-case letters skip the
+    splitter and are encoded many at a time, their ends known by the tokens
+    that end words.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.bare.encode_special_tokens = True
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[bytes, bytes] = {}
-        self.limit = CACHE_ENTRIES
-        self.stop = {c: ids for c, ids in zip(_STOPS, self._encode([bytes([c]) for c in _STOPS]), strict=True)}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        """Whole words of lower-case letters skip normaliser and splitter, which would leave them as they are."""
-        out: list[bytes] = [b""] * len(chunks)
-        texts = [x.decode() for x in chunks]
-        plain = [t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
-        for tokenizer, at in ((self.bare, [i for i, p in enumerate(plain) if p]), (self.tokenizer, [i for i, p in enumerate(plain) if not p])):
-            ids = [e.ids for e in tokenizer.encode_batch_fast([texts[i] for i in at], add_special_tokens=False)]
-            for i, found in zip(at, cut_bytes(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), list(map(len, ids))), strict=True):
-                out[i] = found
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        own = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        bare = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
+        self.modes = {False: own, True: bare}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.openings = sorted({str(t).encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values() for t in [t.content]})
+        self.stop = dict(zip(_STOPS, self._others([bytes([c]) for c in _STOPS]), strict=True))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.bounds = np.zeros(1 << 14, np.int64)
+        self.held = 0
+
+    def _use(self, bare: bool) -> None:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.modes[bare]
+
+    def _others(self, chunks: list[bytes]) -> list[bytes]:
+        self._use(False)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False)]
+        return cut_bytes(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), list(map(len, ids)))
+
+    def _words(self, chunks: list[bytes]) -> list[bytes]:
+        self._use(True)
+        together = [b" ".join(chunks[a : a + 256]).decode() for a in range(0, len(chunks), 256)]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False)), "<u4")
+        return cut_bytes(ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1).tolist())
+
+    def _learn(self, new: list[bytes]) -> None:
         stopped = [x for x in new if len(x) > 1 and x[-1] in _STOPS and x[-2] in _LETTERS]
-        new.difference_update(stopped)
-        new.update(x for x in {x[:-1] for x in stopped} if x not in self.known)
-        bare = list(new)
-        for at in range(0, len(bare), 20_000):
-            some = bare[at : at + 20_000]
-            self.known.update(zip(some, self._encode(some), strict=True))
+        bare = set(new).difference(stopped)
+        bare.update(x for x in {x[:-1] for x in stopped} if x not in self.place)
+        words, others = [], []
+        for x in bare:
+            t = x.decode()
+            (words if t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)) else others).append(x)
+        found: dict[bytes, bytes] = {}
+        for some, encode in ((words, self._words), (others, self._others)):
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                found.update(zip(part, encode(part), strict=True))
+        known = lambda x: found[x] if x in found else self.ids[self.bounds[self.place[x]] : self.bounds[self.place[x] + 1]].tobytes()
         for x in stopped:
-            self.known[x] = self.known[x[:-1]] + self.stop[x[-1]]
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text as little-endian uint32 bytes."""
-        chunks = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        new = set(itertools.filterfalse(self.known.__contains__, itertools.chain.from_iterable(chunks)))
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = set().union(*chunks)
-        self._learn(new)
-        get = self.known.__getitem__
-        for c in chunks:
-            yield b"".join(map(get, c))
-
-
-@functools.cache
-def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
-def _byte_slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    first, texts, size = 0, [], 0
-    for i, value in enumerate(column):
-        raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-        if texts and size + len(raw) > SLICE_BYTES:
-            yield first, texts
-            first, texts, size = i, [], 0
-        texts.append(raw)
-        size += len(raw)
-    if texts:
-        yield first, texts
-
-
-def _local(path: str, capacity: int, end_id: int, warm: bool):
-    end = np.array([end_id], "<u4").tobytes()
+            found[x] = known(x[:-1]) + self.stop[x[-1]]
+        n, used = len(self.place), int(self.bounds[len(self.place)])
+        raw = np.frombuffer(b"".join(found.values()), "<u4")
+        ends = used + np.cumsum(np.fromiter(map(len, found.values()), np.int64, len(found))) // 4
+        self.ids = _grown(self.ids, used, raw)
+        self.bounds = _grown(self.bounds, n + 1, ends)
+        self.place.update(zip(found, range(n, n + len(found)), strict=True))
+        self.held += raw.nbytes + sum(map(len, found)) + _ENTRY_BYTES * len(found)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) for a string array without nulls."""
+        raw = texts.cast(pa.large_binary())
+        kept = pc.match_substring(raw, b"\xcc")
+        for mark in (b"\xcd", *self.openings):
+            kept = pc.or_(kept, pc.match_substring(raw, mark))
+        words = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        if self.held > MEMORY_BYTES:
+            self._forget()
+        new = [x for x in chunks if x not in self.place]
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        code = place[coded.indices.to_numpy()]
+        first = self.bounds[code]
+        size = self.bounds[code + 1] - first
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+        bounds = np.asarray(words.offsets, np.int64)
+        return ids, np.diff(np.concatenate(([0], end))[bounds - bounds[0]])
+
+
+def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` after its first ``used`` items, enlarged where needed."""
+    if used + len(more) > len(array):
+        array = np.concatenate((array[:used], np.zeros(max(len(array), 2 * len(more)), array.dtype)))
+    array[used : used + len(more)] = more
+    return array
+
+
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, large strings without nulls) of consecutive rows of about ``limit`` bytes."""
+    column = column.cast(pa.large_string()).fill_null("")
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        yield a, column.slice(a, b - a)
+        a = b
+
+
+def _pieces(ids: np.ndarray, sizes: np.ndarray, end_id: int, capacity: int) -> tuple[np.ndarray, ...]:
+    """(document, piece, start, length, crc32) of the pieces of some documents, each closed by the end id."""
+    full = np.empty(len(ids) + len(sizes), "<u4")
+    ends = np.cumsum(sizes + 1)
+    own = np.ones(len(full), bool)
+    own[ends - 1] = False
+    full[own], full[ends - 1] = ids, end_id
+    n = -(-(sizes + 1) // capacity)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    start = piece * capacity
+    length = np.minimum(capacity, (sizes + 1)[doc] - start)
+    at = (ends - sizes - 1)[doc] + start
+    raw = memoryview(full).cast("B")
+    crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(doc))
+    return doc, piece, start, length, crc
+
+
+def _local(path: str, capacity: int, end_id: int, full: float):
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "child", "rank", "bin", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        tokenizer.limit = CACHE_ENTRIES if warm else TASK_ENTRIES
-        base = TaskContext.get().partitionId() << 32
-        rows: list[tuple] = []
-        used = 0
+        tokenizer = WordTokenizer(path)
+        child = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
 
         def packed() -> pa.RecordBatch:
-            nonlocal rows, used
-            where, offset, fills = best_fit([r[3] for r in rows], capacity)
-            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-            bins = np.array(where, np.int64) + (base + used)
-            out = pa.record_batch([*columns, pa.array(bins), pa.array(offset, pa.int64()), pa.array(np.array(fills, np.int64)[where])], ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "at", "fill"])
-            used += len(fills)
-            rows = []
-            return out
+            nonlocal child, held
+            rows = pa.Table.from_batches(held).combine_chunks()
+            where, offset, rank = pack_items(rows.column("length").to_numpy(), capacity, full)
+            found = [pa.array(c, pa.int64()) for c in (np.full(len(rows), child), rank, where, offset)]
+            child, held = child + (1 << 24), []  # a task's further packings are children of their own
+            return pa.record_batch([*(c.chunk(0) for c in rows.columns), *found], names)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for first, texts in _byte_slices(batch.column("text")):
-                for k, raw in enumerate(tokenizer.encode(texts)):
-                    raw += end
-                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        rows.append((ids[first + k], piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                    if len(rows) >= LOCAL_PIECES:
-                        yield packed()
-        if rows:
+            ids = batch.column("doc_id")
+            for first, texts in text_slices(batch.column("text"), SLICE_BYTES):
+                doc, *columns = _pieces(*tokenizer.encode(texts), end_id, capacity)
+                held.append(pa.record_batch([ids.take(pa.array(first + doc)), *(pa.array(c, pa.int64()) for c in columns)], names[:5]))
+                if sum(map(len, held)) >= 1 << LOCAL_BITS:
+                    yield packed()
+        if held:
             yield packed()
-        if not warm:
-            tokenizer.known.clear()
-            pa.default_memory_pool().release_unused()
+        del tokenizer
+        release()
 
     return run
 
 
+_PLAN = "child long, length long, low long, high long, into long, shift long, to_rank long"
+
+
+def merge_counts(child: np.ndarray, length: np.ndarray, n: np.ndarray, capacity: int, full: float) -> list[np.ndarray]:
+    """Where a group's items go, given how many of each length each child has: columns as in ``_PLAN``.
+
+    Items of ``child`` and ``length`` whose rank is in [low, high) go into new
+    bins ``into``, ``into + 1``, ... at ``shift``. Those that stay items
+    have ``into`` -1 and ranks ``to_rank`` and on among the group's items of
+    their length.
+    """
+    order = np.lexsort((child, -length))
+    child, length, n = child[order], length[order], n[order]
+    kinds, start = np.unique(-length, return_index=True)
+    plan = best_fit((-kinds).tolist(), np.add.reduceat(n, start).tolist(), capacity)
+    # moves cut where a child's items begin, then where bins of another fill begin
+    row_at = np.cumsum(n) - n
+    move, item, size = _cut(plan.item, plan.n, row_at)
+    part, into, size = _cut(plan.bin[move] + item - plan.item[move], size, plan.first)
+    item = item[part] + into - (plan.bin[move] + item - plan.item[move])[part]
+    final = plan.fill[np.searchsorted(plan.first, into, "right") - 1] >= full * capacity
+    row = np.searchsorted(row_at, item, "right") - 1
+    stay = np.lexsort((item, final))[: np.count_nonzero(~final)]
+    to_rank = np.full(len(item), -1)
+    before = np.cumsum(size[stay]) - size[stay]
+    opens = np.flatnonzero(np.diff(length[row[stay]], prepend=0))  # items are in order of length
+    to_rank[stay] = before - np.repeat(before[opens], np.diff(opens, append=len(stay)))
+    low = item - row_at[row]
+    return [child[row], length[row], low, low + size, np.where(final, into, -1), np.where(final, plan.offset[move][part], 0), to_rank]
+
+
 def _merge(capacity: int, full: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
-        where, offset, fills = best_fit(group["fill"].tolist(), capacity)
-        first: dict[int, int] = {}
-        for b, name in zip(where, group["bin"], strict=True):
-            first.setdefault(b, name)
-        fill = np.array(fills, np.int64)
-        open_ = fill < full * capacity
-        if open_.sum() > PASS_ON:
-            open_ &= np.isin(np.arange(len(fill)), np.argsort(np.where(open_, fill, capacity + 1), kind="stable")[:PASS_ON])
-        return pd.DataFrame({"bin": group["bin"], "into": [first[b] for b in where], "shift": offset, "fill": fill[where], "open": open_[where]})
+    def run(table: pa.Table) -> pa.Table:
+        columns = merge_counts(*(table.column(c).to_numpy() for c in ("child", "length", "n")), capacity, full)
+        return pa.table([pa.array(c) for c in columns], [c.split()[0] for c in _PLAN.split(", ")])
 
     return run
 
 
-def pack(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, warm: bool = True
-) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
-    A document is its token ids and then ``end_id``; a null or empty text is
+    A document is its token ids, as the tokenizer file gives them without
+    special tokens added (an added token's own string in a text is that
+    token), and then ``end_id``; a null or empty text is
     the end id alone. Documents longer than ``capacity`` are cut into pieces
     of that length, the last being shorter. Rows that repeat are packed each
     for itself; ids may be null. Other columns are ignored; an empty table
-    gives no pieces. Workers are reused by other stages: ``warm=False`` gives
-    the remembered chunks back at a task's end.
+    gives no pieces. No piece is ever dropped or cut to fit.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long, bin long, at long, fill long"
-    pieces = stage(source.mapInArrow(_local(tokenizer_path, capacity, end_id, warm), schema), "pieces")
-    bins = pieces.select("bin", "fill").distinct().where(F.col("fill") < NEARLY_FULL[0] * capacity)
-    top = bins.agg(F.max(F.shiftright("bin", 32))).first()[0]
-    moved, level, groups = None, 0, None
-    while top is not None and groups != 1:
-        level += 1
-        groups = top // FAN_IN**level + 1
-        full = NEARLY_FULL[min(level, len(NEARLY_FULL) - 1)]
-        grouped = bins.withColumn("g", F.floor(F.shiftright("bin", 32) / FAN_IN**level))
-        merged = stage(grouped.groupBy("g").applyInPandas(_merge(capacity, full), "bin long, into long, shift long, fill long, open boolean"), "merged")
-        step = merged.select(F.col("bin").alias("from"), "into", "shift")
-        if moved is None:
-            moved = step
-        else:
-            on = step.withColumnsRenamed({"into": "into2", "shift": "shift2"})
-            moved = stage(
-                moved.join(on, moved["into"] == on["from"], "left").select(moved["from"], F.coalesce("into2", "into").alias("into"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift")), "moved"
-            )
-        bins = merged.where("open").select(F.col("into").alias("bin"), "fill").distinct()
+    schema = "doc_id long, piece long, start long, length long, ids_crc32 long, child long, rank long, bin long, at long"
+    # a bin's number: its level, child and place in the child; level by level places take FAN_BITS more and children as many fewer
+    number = lambda level, child, place: F.lit(level << 58) + child * (1 << (LOCAL_BITS + 1 + FAN_BITS * level)) + place
+    pieces = stage(source.mapInArrow(_local(tokenizer_path, capacity, end_id, NEARLY_FULL), schema), "pieces")
+    pieces = pieces.withColumn("bin", number(0, F.col("child"), F.col("bin")))
+    items = pieces.where("rank >= 0").select("bin", "child", "length", "rank")
+    counts = stage(items.groupBy("child", "length").agg(F.count("*").alias("n")), "counts")
+    top = counts.agg(F.max("child")).first()[0]
+    moved, level = None, 0
+    while top is not None and (level == 0 or top > 0):
+        level, top = level + 1, top >> FAN_BITS
+        plan = stage(counts.groupBy(F.shiftright("child", FAN_BITS).alias("g")).applyInArrow(_merge(capacity, NEARLY_FULL if top else 0.0), _PLAN), "plan")
+        i, p = items.alias("i"), small(plan).alias("p")
+        met = i.join(p, (F.col("i.child") == F.col("p.child")) & (F.col("i.length") == F.col("p.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+        up, gap = F.shiftright(F.col("i.child"), FAN_BITS), F.col("rank") - F.col("low")
+        into = F.when(F.col("into") >= 0, number(level, up, F.col("into") + gap))
+        step = stage(met.select("bin", up.alias("child"), F.col("i.length").alias("length"), (F.col("to_rank") + gap).alias("rank"), into.alias("into"), "shift"), "step")
+        counts = stage(plan.where("into < 0").groupBy(F.shiftright("child", FAN_BITS).alias("child"), "length").agg(F.sum(F.col("high") - F.col("low")).alias("n")), "counts")
+        final = step.where("into is not null").select("bin", "into", "shift")
+        moved = final if moved is None else moved.unionByName(final)
+        items = step.where("into is null").select("bin", "child", "length", "rank")
     placed = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "bin", "at")
     if moved is not None:
-        placed = placed.join(small(moved), F.col("bin") == F.col("from"), "left")
+        placed = placed.join(small(moved), "bin", "left")
     else:
         placed = placed.withColumns({"into": F.lit(None).cast("long"), "shift": F.lit(None).cast("long")})
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))

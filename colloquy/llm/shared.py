@@ -1,7 +1,22 @@
-"""Shared intermediate tables, as in the rest of the library."""
+"""Shared intermediate tables, as in the rest of the library, and worker memory."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
+
 from colloquy.storage import BROADCAST_ROWS, shared_root, small, stage
 
-__all__ = ["BROADCAST_ROWS", "shared_root", "small", "stage"]
+__all__ = ["BROADCAST_ROWS", "release", "shared_root", "small", "stage"]
+
+
+def release() -> None:
+    """Give freed memory back to the system at a task's end: workers live on and other stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
