@@ -20,6 +20,7 @@ import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from .bpe import cut_bytes
 from .shared import release, small, stage
 
@@ -42,8 +44,8 @@ NEARLY_FULL = 0.999
 LOCAL_BITS = 18
 #: Bytes of remembered chunks (with what the memory itself costs) after which a task starts afresh.
 MEMORY_BYTES = 48 << 20
-SLICE_BYTES = 1 << 20
-_ENTRY_BYTES = 180
+SLICE_BYTES = 6 << 20
+_ENTRY_BYTES = 200
 
 
 class Plan(NamedTuple):
@@ -139,8 +141,10 @@ def pack_items(lengths: np.ndarray, capacity: int, full: float) -> tuple[np.ndar
     return where, offset, rank
 
 
-_STOPS = frozenset(b",.;:!?")
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_STOPS = frozenset(",.;:!?")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+#: Stands between chunks that are encoded together; a chunk that holds it is encoded alone.
+_BETWEEN = "\0"
 
 
 class WordTokenizer:
@@ -152,7 +156,7 @@ class WordTokenizer:
     before lower-casing); a single stop after an ASCII letter is a token of its own,
     and so is all that comes before it; words of lower-case letters skip the
     splitter and are encoded many at a time, their ends known by the tokens
-    that end words.
+    that end words; other chunks have a token of their own put between them.
     """
 
     def __init__(self, path: str):
@@ -165,84 +169,76 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.openings = sorted({str(t).encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values() for t in [t.content]})
-        self.stop = dict(zip(_STOPS, self._others([bytes([c]) for c in _STOPS]), strict=True))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 14, np.int64)
+        self.openings = sorted({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
         self.held = 0
+        self.stop = {c: self._alone(c) for c in _STOPS}
 
-    def _use(self, bare: bool) -> None:
+    def _ids(self, texts: list[str], bare: bool) -> np.ndarray:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.modes[bare]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
+        self.held += sum(map(len, texts)) + ids.nbytes
+        return ids
 
-    def _others(self, chunks: list[bytes]) -> list[bytes]:
-        self._use(False)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False)]
-        return cut_bytes(np.fromiter(itertools.chain.from_iterable(ids), "<u4"), list(map(len, ids)))
+    def _alone(self, chunk: str) -> bytes:
+        return self._ids([chunk], False).tobytes()
 
-    def _words(self, chunks: list[bytes]) -> list[bytes]:
-        self._use(True)
-        together = [b" ".join(chunks[a : a + 256]).decode() for a in range(0, len(chunks), 256)]
-        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False)), "<u4")
+    def _words(self, chunks: list[str]) -> list[bytes]:
+        ids = self._ids([" ".join(chunks[a : a + 256]) for a in range(0, len(chunks), 256)], True)
         return cut_bytes(ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1).tolist())
 
-    def _learn(self, new: list[bytes]) -> None:
-        stopped = [x for x in new if len(x) > 1 and x[-1] in _STOPS and x[-2] in _LETTERS]
+    def _others(self, chunks: list[str]) -> list[bytes]:
+        ids = self._ids([f" {_BETWEEN} ".join([*chunks[a : a + 64], ""]) for a in range(0, len(chunks), 64)], False)
+        gap = ids == self.between
+        return cut_bytes(ids[~gap], (np.diff(np.flatnonzero(gap), prepend=-1) - 1).tolist())
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.known
+        before = len(known)
+        stopped = [x for x in new if x[-1:] in _STOPS and x[-2:-1] in _LETTERS]
         bare = set(new).difference(stopped)
-        bare.update(x for x in {x[:-1] for x in stopped} if x not in self.place)
-        words, others = [], []
-        for x in bare:
-            t = x.decode()
-            (words if t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t)) else others).append(x)
-        found: dict[bytes, bytes] = {}
-        for some, encode in ((words, self._words), (others, self._others)):
-            for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
-                found.update(zip(part, encode(part), strict=True))
-        known = lambda x: found[x] if x in found else self.ids[self.bounds[self.place[x]] : self.bounds[self.place[x] + 1]].tobytes()
-        for x in stopped:
-            found[x] = known(x[:-1]) + self.stop[x[-1]]
-        n, used = len(self.place), int(self.bounds[len(self.place)])
-        raw = np.frombuffer(b"".join(found.values()), "<u4")
-        ends = used + np.cumsum(np.fromiter(map(len, found.values()), np.int64, len(found))) // 4
-        self.ids = _grown(self.ids, used, raw)
-        self.bounds = _grown(self.bounds, n + 1, ends)
-        self.place.update(zip(found, range(n, n + len(found)), strict=True))
-        self.held += raw.nbytes + sum(map(len, found)) + _ENTRY_BYTES * len(found)
+        bare.update([x for x in [x[:-1] for x in stopped] if x not in known])
+        words = [x for x in bare if x.isalpha() and (x.isascii() or unicodedata.is_normalized("NFC", x)) and x == x.lower()]
+        bare.difference_update(words)
+        odd = [x for x in bare if _BETWEEN in x]
+        bare.difference_update(odd)
+        for some, encode in ((words, self._words), (list(bare), self._others)):
+            for at in range(0, len(some), 16_384):
+                part = some[at : at + 16_384]
+                known.update(zip(part, encode(part), strict=True))
+        for x in odd:
+            known[x] = self._alone(x)
+        stop = self.stop
+        known.update([(x, known[x[:-1]] + stop[x[-1]]) for x in stopped])
+        self.held += _ENTRY_BYTES * (len(known) - before)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each text) for a string array without nulls."""
-        raw = texts.cast(pa.large_binary())
-        kept = pc.match_substring(raw, b"\xcc")
-        for mark in (b"\xcd", *self.openings):
-            kept = pc.or_(kept, pc.match_substring(raw, mark))
-        words = pc.ascii_split_whitespace(pc.if_else(kept, texts, pc.ascii_lower(texts)))
+        """(ids, number of ids of each text) for a large string array without nulls."""
+        lower = pc.ascii_lower(texts)
+        marks = (b"\xcc", b"\xcd", *self.openings)
+        raw = W.string_buffers(texts)[0].tobytes() if len(texts) else b""
+        marks = [m for m in marks if m in raw]
+        if marks:
+            kept = reduce(pc.or_, [pc.match_substring(texts.cast(pa.large_binary()), m) for m in marks])
+            lower = pc.if_else(kept, texts, lower)
+        words = pc.ascii_split_whitespace(lower)
         coded = words.flatten().dictionary_encode()
-        chunks = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > MEMORY_BYTES:
-            self._forget()
-        new = [x for x in chunks if x not in self.place]
+            self.known, self.held = {}, 0
+        found = list(map(self.known.get, chunks))
+        new = [x for x, ids in zip(chunks, found, strict=True) if ids is None]
         if new:
             self._learn(new)
-        place = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        code = place[coded.indices.to_numpy()]
-        first = self.bounds[code]
-        size = self.bounds[code + 1] - first
-        end = np.cumsum(size)
-        ids = self.ids[np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+            learnt = map(self.known.__getitem__, new)
+            found = [next(learnt) if ids is None else ids for ids in found]
+        ids = pa.array(found, pa.large_binary())
+        every = ids.take(coded.indices)
+        offsets, data = (np.frombuffer(x, t) if x else np.zeros(0, t) for x, t in zip(every.buffers()[1:], (np.int64, "<u4"), strict=True))
         bounds = np.asarray(words.offsets, np.int64)
-        return ids, np.diff(np.concatenate(([0], end))[bounds - bounds[0]])
-
-
-def _grown(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
-    """``array`` with ``more`` after its first ``used`` items, enlarged where needed."""
-    if used + len(more) > len(array):
-        array = np.concatenate((array[:used], np.zeros(max(len(array), 2 * len(more)), array.dtype)))
-    array[used : used + len(more)] = more
-    return array
+        size = np.diff(offsets[bounds - bounds[0]]) // 4
+        return data[: size.sum()], size
 
 
 def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
