@@ -1,24 +1,28 @@
-"""Toxicity by two class-conditional Kneser-Ney models.
-
-Method: words (runs without Unicode white space, whole, in training and in
-scoring alike) are modelled symbol by symbol, given up to ``ORDER - 1``
-symbols of the same word. The toxic and the ordinary model discount their own
-counts and hand the freed mass to one shared Kneser-Ney backoff estimated
-from both, so an expression that is rare, or that only resembles one seen
-(an inflected insult), leans on shared continuation counts and a word that
-neither class knows says nothing. A text's evidence is its length-normalised
-log-likelihood difference, over the whole text and over its most toxic
-stretches of a fixed number of words; a logistic calibration, fitted on
-documents whose own counts were held out, turns it into a score.
-
-The fit uses a bounded sample of labelled rows (``MAX_DOCS``, chosen by a
-hash of the id) and every n-gram of theirs. Its estimates are made in numpy
-arrays, and workers get hashes and values alone.
+"""Toxicity by class-conditional Kneser-Ney models of words and of word pairs.
+
+Method: a word (a run without Unicode white space, lower-cased, whole, split
+in one way in training and in scoring) is modelled symbol by symbol, given up
+to ``ORDER - 1`` symbols of the same word; a word after another by their pair,
+which backs off to the word's own probability. At both levels the toxic and
+the ordinary model discount their own counts and hand the freed mass to one
+shared backoff estimated from both, so an expression that is rare, or that
+only resembles one seen (an inflected insult), leans on shared counts; all
+conditional probabilities sum to one. A text's
+evidence is its length-normalised log-likelihood difference by its words, and what pairs
+add to it, over the
+whole text and over its most toxic stretches of a fixed number of words; a
+logistic calibration, fitted on documents whose own counts were held out,
+turns it into a score.
+
+The fit uses bounded samples of labelled rows (``MAX_DOCS`` for words,
+``MAX_PAIR_DOCS`` of these for pairs, chosen by a hash of the id) and every
+n-gram and pair of theirs. Counts are aggregated by Spark, estimates made in
+numpy arrays, and workers get hashes and values alone.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -30,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .shared import release
 
 ORDER = 6
 DISCOUNT = 0.75
-MAX_DOCS = 20_000
+#: Labelled rows of the fit, and how many of them the pairs are counted in.
+MAX_DOCS, MAX_PAIR_DOCS = 20_000, 4_000
 #: Words in a stretch whose mean decides how toxic its worst part is.
 STRETCHES = (1, 3, 12)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 SLICE_BYTES = 1 << 20
 #: Symbols whose hashes are held at a time.
 BLOCK_SYMBOLS = 1 << 17
@@ -47,6 +53,29 @@ _OTHER_SPACE = "[\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\
 FOLDS = ("t0", "t1", "o0", "o1")
 
 
+#: The word before a text's first.
+_BEGIN = np.uint64(0x2545F4914F6CDD1D)
+
+
+def words_of(column: pa.Array) -> Iterator[W.Words]:
+    """Lower-cased words of a string array, some whole documents at a time."""
+    return W.slices(pc.replace_substring_regex(pc.utf8_lower(column), _OTHER_SPACE, " "), SLICE_BYTES)
+
+
+def before(part: W.Words) -> np.ndarray:
+    """The hash of the word before each word."""
+    out = np.empty_like(part.hashes)
+    out[1:] = part.hashes[:-1]
+    first = part.bounds[:-1]
+    out[first[first < len(out)]] = _BEGIN
+    return out
+
+
+def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return W.mix64(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
 def grams_of(word: str) -> Iterator[str]:
     """The n-gram of each symbol of a word and of its end; a line feed marks both ends."""
     s = f"\n{word}\n"
@@ -54,18 +83,50 @@ def grams_of(word: str) -> Iterator[str]:
         yield s[max(0, i - ORDER + 1) : i + 1]
 
 
+def _slots(batch: pa.RecordBatch) -> np.ndarray:
+    """The place in ``FOLDS`` of each document."""
+    return np.where(batch.column("toxic").to_numpy() > 0, 0, 2) + batch.column("fold").to_numpy()
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        slots = _slots(batch)
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-        for text, toxic, fold in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
-            slot = (0 if toxic else 2) + fold
-            for word, n in Counter((text or "").lower().split()).items():
-                for gram in grams_of(word):
-                    counts[gram][slot] += n
-            if len(counts) > FLUSH_GRAMS:
-                yield _count_batch(counts)
-                counts.clear()
+        for part in words_of(batch.column("text")):
+            raw = part.data.tobytes()
+            slot = np.repeat(slots[part.first : part.first + len(part.bounds) - 1], np.diff(part.bounds))
+            for k in np.unique(slot):
+                own = np.flatnonzero(slot == k)
+                _, at, n = np.unique(part.hashes[own], return_index=True, return_counts=True)
+                for a, b, times in zip(part.starts[own[at]].tolist(), part.ends[own[at]].tolist(), n.tolist(), strict=True):
+                    for gram in grams_of(raw[a:b].decode()):
+                        counts[gram][k] += times
+                    if len(counts) > FLUSH_GRAMS:
+                        yield _count_batch(counts)
+                        counts.clear()
         yield _count_batch(counts)
+    release()
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots = _slots(batch)
+        for part in words_of(batch.column("text")):
+            slot = np.repeat(slots[part.first : part.first + len(part.bounds) - 1], np.diff(part.bounds))
+            first = before(part)
+            _, at, back = np.unique(pair_key(first, part.hashes), return_index=True, return_inverse=True)
+            n = np.bincount(4 * back + slot, minlength=4 * len(at)).reshape(-1, 4).astype(np.int32)
+            yield pa.record_batch([pa.array(first[at].view(np.int64)), pa.array(part.hashes[at].view(np.int64)), *(pa.array(n[:, k]) for k in range(4))], ["v", "w", *FOLDS])
+    release()
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in words_of(batch.column("text")):
+            raw = part.data.tobytes()
+            hashes, at = np.unique(part.hashes, return_index=True)
+            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array([raw[a:b].decode() for a, b in zip(part.starts[at].tolist(), part.ends[at].tolist(), strict=True)], pa.string())], ["w", "word"])
+    release()
 
 
 def _count_batch(counts: dict[str, list[int]]) -> pa.RecordBatch:
@@ -73,12 +134,16 @@ def _count_batch(counts: dict[str, list[int]]) -> pa.RecordBatch:
 
 
 class Model(NamedTuple):
-    """Log-likelihood difference by hashed gram, and by hashed context for grams unseen after it."""
+    """Log-likelihood difference by hashed gram, and by hashed context for grams unseen after it; the same for pairs of words and for the word before."""
 
     gram_keys: np.ndarray
     gram_values: np.ndarray
     context_keys: np.ndarray
     context_values: np.ndarray
+    pair_keys: np.ndarray
+    pair_values: np.ndarray
+    first_keys: np.ndarray
+    first_values: np.ndarray
 
 
 class _Shared(NamedTuple):
@@ -109,35 +174,100 @@ def _shared(symbols: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndar
     return [np.zeros(0), *(p[: len(symbols[k])] for k, p in enumerate(out, 1))]
 
 
-def train(grams: pa.Array, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+def conditionals(counts: np.ndarray, context: np.ndarray, shared: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(probability of each event, mass left for each context's backoff) of the toxic and of the ordinary class.
+
+    ``counts`` is (2, events), ``shared`` the events' shared probability as
+    each class backs off to it. A class that does not know a context hands it
+    over whole.
+    """
+    own, left = [], []
+    for n, backoff in zip(counts, shared, strict=True):
+        total, kinds = np.bincount(context, n), np.bincount(context, n > 0)
+        mass = np.where(total > 0, DISCOUNT * kinds / np.where(total > 0, total, 1), 1.0)
+        seen = np.maximum(n - DISCOUNT, 0) / np.where(total > 0, total, 1)[context]
+        own.append(seen + mass[context] * backoff)
+        left.append(mass)
+    return own, left
+
+
+class Grams(NamedTuple):
+    """Trained n-grams: hash and both log-probabilities, by hash; ``context_values`` are differences of what contexts leave."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+    context_keys: np.ndarray
+    context_values: np.ndarray
+
+
+def train_grams(grams: pa.Array, toxic: np.ndarray, ordinary: np.ndarray) -> Grams:
     used = toxic + ordinary > 0
     size = pc.utf8_length(grams).to_numpy(zero_copy_only=False)
     place = [np.flatnonzero(used & (size == k)) for k in range(ORDER + 1)]
     symbols = [_symbols(grams, at, k) for k, at in enumerate(place)]
     shared = _shared(symbols, [toxic[at] + ordinary[at] for at in place])
     # n-grams that only the other fold has are unseen, as they would be in scoring
-    keys, values = [], []
-    back, defaults = [], []
+    keys, logs, contexts, values = [], [], [], []
     for k in range(1, ORDER + 1):
-        contexts, context = np.unique(hash_symbols(symbols[k][:, :-1]), return_inverse=True)
-        own, mass = [], []
-        for n in (toxic[place[k]], ordinary[place[k]]):
-            total, kinds = np.bincount(context, n, len(contexts)), np.bincount(context, n > 0, len(contexts))
-            known = total[context] > 0
-            smoothed = np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[context] * shared[k]
-            own.append(np.where(known, smoothed / np.where(known, total[context], 1), shared[k]))
-            mass.append((total, kinds))
+        known, context = np.unique(hash_symbols(symbols[k][:, :-1]), return_inverse=True)
+        own, left = conditionals(np.stack((toxic[place[k]], ordinary[place[k]])), context, (shared[k], shared[k]))
         keys.append(hash_symbols(symbols[k]))
-        values.append(np.log(own[0] / own[1]))
-        (t, a), (o, b) = mass
-        both = (t > 0) & (o > 0)  # known to one class only: the other has the shared estimate alone
-        back.append(contexts[both])
-        defaults.append(np.log(a[both] * o[both] / (t[both] * b[both])))
-    return Model(*_by_key(keys, values), *_by_key(back, defaults))
+        logs.append(np.log(own))
+        contexts.append(known)
+        values.append(np.log(left[0] / left[1]))
+    key, log = np.concatenate(keys), np.concatenate(logs, axis=1)
+    order = np.argsort(key)
+    return Grams(key[order], log[:, order], *_by_key(np.concatenate(contexts), np.concatenate(values)))
+
+
+def train_pairs(first: np.ndarray, second: np.ndarray, counts: np.ndarray, words: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair keys, values, first words, values) from the (2, pairs) counts and the (2, words) log-probabilities of the sorted ``words``."""
+    used = counts.sum(axis=0) > 0
+    first, second, counts = first[used], second[used], counts[:, used]
+    known, context = np.unique(first, return_inverse=True)
+    every = counts.sum(axis=0)
+    total, kinds = np.bincount(context, every), np.bincount(context)
+    word = np.exp(logs[:, np.searchsorted(words, second)])
+    shared = (np.maximum(every - DISCOUNT, 0) + DISCOUNT * kinds[context] * word) / total[context]
+    own, left = conditionals(counts, context, (shared[0], shared[1]))
+    return *_by_key(pair_key(first, second), np.log(own[0] / own[1])), *_by_key(known, np.log(left[0] / left[1]))
+
+
+def word_logs(grams: Grams, words: list[str]) -> np.ndarray:
+    """(2, words) log-probabilities of words all of whose n-grams are trained."""
+    out = np.zeros((2, len(words)))
+    for a in range(0, len(words), 20_000):
+        text = "\n" + "\n".join(words[a : a + 20_000]) + "\n"
+        symbols = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        gram, _ = _hashed(symbols)
+        at = np.minimum(np.searchsorted(grams.keys, gram), len(grams.keys) - 1)
+        found = np.where(grams.keys[at] == gram, grams.logs[:, at], 0.0)
+        out[:, a : a + 20_000] = np.add.reduceat(found, np.flatnonzero(symbols == 10)[:-1], axis=1)
+    return out
+
+
+class Sample(NamedTuple):
+    """Counts of the labelled sample, a column for each of ``FOLDS``."""
+
+    grams: pa.Array
+    gram_counts: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    pair_counts: np.ndarray
+    words: np.ndarray
+    texts: list[str]
+
 
+def train(sample: Sample, folds: tuple[int, ...]) -> Model:
+    """The model of the documents of some folds."""
+    g = [sample.gram_counts[:, [c + f for f in folds]].sum(axis=1) for c in (0, 2)]
+    grams = train_grams(sample.grams, *g)
+    counts = np.stack([sample.pair_counts[:, [c + f for f in folds]].sum(axis=1) for c in (0, 2)]).astype(np.float64)
+    pairs = train_pairs(sample.first, sample.second, counts, sample.words, word_logs(grams, sample.texts))
+    return Model(grams.keys, grams.logs[0] - grams.logs[1], grams.context_keys, grams.context_values, *pairs)
 
-def _by_key(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, value = np.concatenate(keys), np.concatenate(values)
+
+def _by_key(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     return key[order], value[order]
 
@@ -183,8 +313,7 @@ def word_evidence(model: Model, words: list[bytes]) -> np.ndarray:
     """Log-likelihood difference of each word."""
     if not words:
         return np.zeros(0)
-    text = "\n" + "\n".join([w.decode().lower() for w in words]) + "\n"
-    symbols = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = np.frombuffer(f"\n{b'\n'.join(words).decode()}\n".encode("utf-32-le"), np.uint32)
     ends = np.flatnonzero(symbols == 10)
     value = np.empty(len(symbols) - 1)
     for a in range(1, len(symbols), BLOCK_SYMBOLS):
@@ -193,8 +322,8 @@ def word_evidence(model: Model, words: list[bytes]) -> np.ndarray:
     return np.add.reduceat(value, ends[:-1])
 
 
-def _symbol_evidence(model: Model, symbols: np.ndarray) -> np.ndarray:
-    """Log-likelihood difference of each symbol but the first; those that have ``ORDER`` symbols before them, or the mark that opens their word, are exact."""
+def _hashed(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the n-gram and of the context of each symbol but the first; those that have ``ORDER`` symbols before them, or the mark that opens their word, are exact."""
     mark = symbols == 10
     opens = np.maximum.accumulate(np.where(mark, np.arange(len(symbols)), -ORDER))
     opens = np.concatenate(([0], opens[:-1]))  # the mark that opens the word of each later symbol
@@ -203,15 +332,30 @@ def _symbol_evidence(model: Model, symbols: np.ndarray) -> np.ndarray:
     # h[k]: hash of the k symbols that end at each place
     h = [np.zeros(len(symbols), np.uint64)]
     for _ in range(ORDER):
-        before = np.concatenate((h[-1][:1] * 0, h[-1][:-1]))
-        h.append(_step(before, symbols))
+        left = np.concatenate((h[-1][:1] * 0, h[-1][:-1]))
+        h.append(_step(left, symbols))
     table = np.stack(h)
-    gram, context = table[depth, at], table[depth - 1, at - 1]
+    return table[depth, at], table[depth - 1, at - 1]
+
+
+def _symbol_evidence(model: Model, symbols: np.ndarray) -> np.ndarray:
+    """Log-likelihood difference of each symbol but the first."""
+    gram, context = _hashed(symbols)
     hit, value = _lookup(model.gram_keys, model.gram_values, gram)
     _, default = _lookup(model.context_keys, model.context_values, context)
     return np.where(hit, value, default)
 
 
+def pair_evidence(model: Model, part: W.Words, evidence: np.ndarray) -> np.ndarray:
+    """Log-likelihood difference of each word given the one before, from its own ``evidence``."""
+    first = before(part)
+    keys, back = np.unique(pair_key(first, part.hashes), return_inverse=True)
+    hit, value = _lookup(model.pair_keys, model.pair_values, keys)
+    kinds, of = np.unique(first, return_inverse=True)
+    _, default = _lookup(model.first_keys, model.first_values, kinds)
+    return np.where(hit[back], value[back], evidence + default[of])
+
+
 def _features(evidence: np.ndarray) -> list[float]:
     """Length-normalised evidence: of the text, and of its worst stretches."""
     n = len(evidence)
@@ -226,7 +370,7 @@ def _features(evidence: np.ndarray) -> list[float]:
 
 
 def _evidence_of(model: Model, column: pa.Array, memory: dict[int, float]) -> Iterator[tuple[int, list[list[float]]]]:
-    for part in W.slices(pc.replace_substring_regex(column, _OTHER_SPACE, " "), SLICE_BYTES):
+    for part in words_of(column):
         hashes, first, back = np.unique(part.hashes, return_index=True, return_inverse=True)
         keys = hashes.tolist()
         new = [i for i, k in enumerate(keys) if k not in memory]
@@ -236,8 +380,9 @@ def _evidence_of(model: Model, column: pa.Array, memory: dict[int, float]) -> It
         starts, ends = part.starts[first].tolist(), part.ends[first].tolist()
         raw = part.data.tobytes() if new else b""
         memory.update(zip([keys[i] for i in new], word_evidence(model, [raw[starts[i] : ends[i]] for i in new]).tolist(), strict=True))
-        value = np.array([memory[k] for k in keys])[back] if keys else np.zeros(0)
-        yield part.first, [_features(value[a:b]) for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True)]
+        value = np.fromiter(map(memory.__getitem__, keys), np.float64, len(keys))[back]
+        pairs = pair_evidence(model, part, value)
+        yield part.first, [_features(value[a:b]) + _features(pairs[a:b] - value[a:b]) for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True)]
 
 
 def _fold_features(models: tuple[Model, Model]):
@@ -252,13 +397,33 @@ def _fold_features(models: tuple[Model, Model]):
                 part = batch.take(pa.array(rows))
                 found = [x for _, xs in _evidence_of(models[1 - f], part.column("text"), memories[f]) for x in xs]
                 yield pa.record_batch([part.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+        for memory in memories:
+            memory.clear()
+        release()
 
     return run
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights (the first for the constant) by Newton steps on the penalised likelihood."""
+    """Weights (the first for the constant), none below zero but the constant: more evidence never lowers a score.
+
+    Newton steps on the penalised likelihood; while a weight is negative, the
+    feature with the lowest is left out.
+    """
     x = np.column_stack((np.ones(len(x)), x))
+    used = list(range(x.shape[1]))
+    while True:
+        w = _newton(x[:, used], y, ridge)
+        low = int(np.argmin(w[1:])) + 1 if len(w) > 1 else 0
+        if low and w[low] < 0:
+            used.pop(low)
+            continue
+        out = np.zeros(x.shape[1])
+        out[used] = w
+        return out
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[0] = 1e-6
@@ -278,17 +443,19 @@ def _prepared(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.sqrt(np.abs(x))
 
 
-def _scores(model: Model | None, weights: np.ndarray | None, column: str):
+def _scores(model: Model | None, weights: np.ndarray | None, column: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[int, float] = {}
         for batch in batches:
             if model is None:
-                yield batch.append_column("__toxicity", pa.array(np.zeros(len(batch))))
+                yield batch.append_column(out, pa.array(np.zeros(len(batch))))
                 continue
             for first, found in _evidence_of(model, batch.column(column), memory):
                 x = _prepared(np.array(found))
                 score = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -500, 500)))
-                yield batch.slice(first, len(found)).append_column("__toxicity", pa.array(score))
+                yield batch.slice(first, len(found)).append_column(out, pa.array(score))
+        memory.clear()
+        release()
 
     return run
 
@@ -298,42 +465,61 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> tuple[Model | None, np.ndarray | None]:
-    """(model, calibration weights) from labelled rows that are not held out.
-
-    Rows without a label or an id are not used; several labels of one id count
-    as toxic if one is. Without rows of both classes there is no model.
-    """
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int, max_pair_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(text, toxic, fold) of the labelled rows that words, and that pairs, are learnt from."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")
-    rows = source.join(F.broadcast(sample), "doc_id").select("text", "toxic", fold.alias("fold"))
-    counts = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} long" for c in FOLDS))
-    sums = counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in FOLDS))
-    top = sums.toArrow()
-    t, o = (np.column_stack([top[c].to_numpy() for c in cs]).astype(np.float64) for cs in (FOLDS[:2], FOLDS[2:]))
-    if not (t.sum(axis=0).all() if len(t) else False) or not o.sum(axis=0).all():
+    chosen = lambda n: F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
+    rows = [source.join(chosen(n), "doc_id").select("text", "toxic", fold.alias("fold")) for n in (max_docs, min(max_docs, max_pair_docs))]
+    return rows[0], rows[1]
+
+
+def sample_counts(rows: DataFrame, pair_rows: DataFrame) -> Sample:
+    """All n-grams and pairs of the sampled rows."""
+    sums = [F.sum(c).alias(c) for c in FOLDS]
+    grams = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} long" for c in FOLDS)).groupBy("gram").agg(*sums).toArrow()
+    pairs = pair_rows.mapInArrow(_pair_counts, "v long, w long, " + ", ".join(f"{c} int" for c in FOLDS)).groupBy("v", "w").agg(*(s.cast("int").alias(c) for s, c in zip(sums, FOLDS, strict=True))).toArrow()
+    words = pair_rows.mapInArrow(_vocabulary, "w long, word string").groupBy("w").agg(F.min("word").alias("word")).toArrow()
+    table = lambda t, kind: np.column_stack([t[c].to_numpy() for c in FOLDS]).astype(kind)
+    order = np.argsort(words["w"].to_numpy().view(np.uint64))
+    return Sample(
+        grams["gram"].combine_chunks(), table(grams, np.float64), pairs["v"].to_numpy().view(np.uint64), pairs["w"].to_numpy().view(np.uint64), table(pairs, np.int32),
+        words["w"].to_numpy().view(np.uint64)[order], words["word"].take(pa.array(order)).to_pylist(),
+    )
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_pair_docs: int = MAX_PAIR_DOCS) -> tuple[Model | None, np.ndarray | None]:
+    """(model, calibration weights) from labelled rows that are not held out.
+
+    Rows without a label or an id are not used; several labels of one id count
+    as toxic if one is. Without rows of both classes in both folds there is no
+    model. Several rows of a sampled id are all used.
+    """
+    rows, pair_rows = _sampled(docs, labels, id_col, text_col, max_docs, max_pair_docs)
+    sample = sample_counts(rows, pair_rows)
+    if not len(sample.gram_counts) or not sample.gram_counts.sum(axis=0).all():
         return None, None
-    grams = top["gram"].combine_chunks()
-    halves = tuple(train(grams, t[:, f], o[:, f]) for f in (0, 1))
+    halves = tuple(train(sample, (f,)) for f in (0, 1))
     features = rows.mapInArrow(_fold_features(halves), "toxic int, x array<double>").toArrow()
     x = _prepared(np.array(features["x"].to_pylist()))
     weights = fit_logistic(x, (features["toxic"].to_numpy() > 0).astype(float))
-    return train(grams, t.sum(axis=1), o.sum(axis=1)), weights
+    del halves
+    return train(sample, (0, 1)), weights
 
 
-def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` and a ``__toxicity`` score, one row for each input row, without a shuffle.
+def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", column: str = "__toxicity") -> DataFrame:
+    """``docs`` and a score in ``column`` (which replaces one of that name), one row for each input row, without a shuffle.
 
     A null or empty text has no evidence and gets the calibration's constant.
     Rows with a null id are scored too; where labels give no model every score
-    is 0.
+    is 0. An empty table gives an empty result.
     """
     model, weights = fit(docs, labels, id_col, text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__toxicity", T.DoubleType())])
-    return docs.mapInArrow(_scores(model, weights, text_col), schema)
+    docs = docs.drop(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    return docs.mapInArrow(_scores(model, weights, text_col, column), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from colloquy.llm import maxent, pii, topk, toxicity
+from colloquy.llm import words as W
 
 # ---------------------------------------------------------------- toxicity
 
@@ -72,24 +73,21 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect() == []
 
 
-def test_toxicity_reads_whole_runs_and_splits_alike(spark):
+def test_toxicity_splits_alike(spark):
     docs, labels = labelled()
     plain = "aeio ulnr " * 60
     runs = {
-        9100: "aeioulnrst" * 40 + "vorlaxen" * 30,  # behind the 200th symbol of a run
-        9101: "aeioulnrst" * 40,
         9102: (plain + "vorlaxen grimstos").replace(" ", "\u00a0"),
-        9103: plain + "vorlaxen grimstos",
+        9103: plain + "VORLAXEN grimstos",
         9104: (plain + "vorlaxen grimstos").replace(" ", "\u3000"),
     }
     d = spark.createDataFrame(docs + list(runs.items()), "doc_id long, text string")
     found = {r.doc_id: r.score for r in toxicity.score(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
-    assert found[9100] > 5 * found[9101]
-    assert found[9102] == found[9103] == found[9104]
+    assert found[9102] == found[9103] == found[9104] > 0.5
 
 
 def test_toxicity_learns_whole_runs():
-    batch = pa.record_batch([pa.array(["x" * 300 + "qyz"]), pa.array([1]), pa.array([0])], ["text", "toxic", "fold"])
+    batch = pa.record_batch([pa.array(["x" * 300 + "QYZ"]), pa.array([1]), pa.array([0])], ["text", "toxic", "fold"])
     grams = {g for b in toxicity._gram_counts(iter([batch])) for g in b.column("gram").to_pylist()}
     assert "xxxqyz" in grams and "xxqyz\n" in grams
 
@@ -99,7 +97,7 @@ def test_evidence_does_not_depend_on_blocks(monkeypatch):
     words = ["".join(rng.choice(list("abc"), n)).encode() for n in (1, 2, 7, 40, 5, 300)]
     grams = sorted({g for w in words for g in toxicity.grams_of(w.decode())})
     keys = np.sort(toxicity.hash_grams(grams))
-    model = toxicity.Model(keys, rng.normal(size=len(keys)), np.zeros(0, np.uint64), np.zeros(0))
+    model = toxicity.Model(keys, rng.normal(size=len(keys)), *(np.zeros(0, t) for t in (np.uint64, float) * 3))
     whole = toxicity.word_evidence(model, words)
     value = dict(zip(keys.tolist(), model.gram_values, strict=True))
     expected = [sum(value[int(h)] for h in toxicity.hash_grams(list(toxicity.grams_of(w.decode())))) for w in words]
@@ -108,54 +106,160 @@ def test_evidence_does_not_depend_on_blocks(monkeypatch):
     assert np.allclose(toxicity.word_evidence(model, words), expected)
 
 
-def brute_model(counts):
-    """{gram: log-likelihood difference} and {context: default} of {gram: (toxic, ordinary)}, by recursion."""
-    levels = [Counter() for _ in range(toxicity.ORDER + 1)]
-    for g, n in counts.items():
-        levels[len(g)][g] += sum(n)
-    for k in range(toxicity.ORDER, 1, -1):
-        for g in levels[k]:
-            levels[k - 1][g[1:]] += 1
-    total, kinds = Counter(), Counter()
-    for level in levels:
-        for g, n in level.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-
-    def p(g):
-        below = p(g[1:]) if len(g) > 1 else 1 / (len(levels[1]) + 1)
-        return (max(levels[len(g)][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * kinds[g[:-1]] * below) / total[g[:-1]]
-
-    sums, own = (Counter(), Counter()), (Counter(), Counter())
-    for g, n in counts.items():
-        for c in (0, 1):
-            sums[c][g[:-1]] += n[c]
-            own[c][g[:-1]] += n[c] > 0
-
-    def conditional(c, g):
+class Brute:
+    """Both class models by recursion, from (toxic, ordinary) counts of n-grams and of word pairs."""
+
+    def __init__(self, counts, pairs=()):
+        self.counts, self.pairs = counts, dict(pairs)
+        self.levels = [Counter() for _ in range(toxicity.ORDER + 1)]
+        for g, n in counts.items():
+            self.levels[len(g)][g] += sum(n)
+        for k in range(toxicity.ORDER, 1, -1):
+            for g in self.levels[k]:
+                self.levels[k - 1][g[1:]] += 1
+        self.total, self.kinds = Counter(), Counter()
+        for level in self.levels:
+            for g, n in level.items():
+                self.total[g[:-1]] += n
+                self.kinds[g[:-1]] += 1
+        self.symbols = sorted(self.levels[1])
+        self.sums, self.own = (Counter(), Counter()), (Counter(), Counter())
+        for h, n in [(g[:-1], n) for g, n in counts.items()] + [((v,), n) for (v, _), n in self.pairs.items()]:
+            for c in (0, 1):
+                self.sums[c][h] += n[c]
+                self.own[c][h] += n[c] > 0
+
+    def shared(self, g):
         h = g[:-1]
-        return (max(counts[g][c] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * own[c][h] * p(g)) / sums[c][h] if sums[c][h] else p(g)
-
-    values = {g: math.log(conditional(0, g) / conditional(1, g)) for g in counts}
-    return values, {h: math.log(own[0][h] * sums[1][h] / (sums[0][h] * own[1][h])) for h in sums[0] if sums[0][h] and sums[1][h]}
+        below = self.shared(g[1:]) if h else 1 / (len(self.symbols) + 1)
+        if not self.total[h]:
+            return below
+        return (max(self.levels[len(g)][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * self.kinds[h] * below) / self.total[h]
+
+    def mixed(self, c, h, n, below):
+        if not self.sums[c][h]:
+            return below
+        return (max(n - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * self.own[c][h] * below) / self.sums[c][h]
+
+    def symbol(self, c, g):
+        return self.mixed(c, g[:-1], self.counts.get(g, (0, 0))[c], self.shared(g))
+
+    def word(self, c, w):
+        return math.prod(self.symbol(c, g) for g in toxicity.grams_of(w))
+
+    def pair(self, c, v, w):
+        after = [n for (a, _), n in self.pairs.items() if a == v]
+        n = self.pairs.get((v, w), (0, 0))
+        below = self.word(c, w)
+        if after:
+            below = (max(sum(n) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * below) / sum(map(sum, after))
+        return self.mixed(c, (v,), n[c], below)
+
+
+def counted(texts):
+    """n-gram and pair counts of (words, class) texts."""
+    grams, pairs = {}, {}
+    for words, c in texts:
+        for v, w in zip([None, *words], words):
+            pairs.setdefault((v, w), [0, 0])[c] += 1
+            for g in toxicity.grams_of(w):
+                grams.setdefault(g, [0, 0])[c] += 1
+    return grams, pairs
+
+
+def sampled(texts):
+    grams, pairs = counted(texts)
+    names = sorted({w for _, w in pairs})
+    hashed = {w: W.hash_word(w.encode()) for w in names} | {None: toxicity._BEGIN}
+    order = np.argsort([hashed[w] for w in names])
+    table = lambda counts: np.array([(t, 0, o, 0) for t, o in counts.values()], np.float64)
+    return toxicity.Sample(
+        pa.array([*grams, "\nzz", "zzzzzz"]), np.vstack((table(grams), np.zeros((2, 4)))), np.array([hashed[v] for v, _ in pairs], np.uint64), np.array([hashed[w] for _, w in pairs], np.uint64), table(pairs),
+        np.array([hashed[names[i]] for i in order], np.uint64), [names[i] for i in order],
+    )
+
+
+def small_corpus():
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcé🙂"), rng.integers(1, 9))) for _ in range(60)]
+    return [(list(rng.choice(vocabulary[20 * int(rng.integers(0, 2)) :][:45], rng.integers(1, 12))), int(i % 3 > 0)) for i in range(120)]
 
 
 def test_toxicity_estimates_equal_brute_force():
-    rng = np.random.default_rng(6)
-    counts = {}
-    for _ in range(400):
-        word = "".join(rng.choice(list("abcé🙂"), rng.integers(1, 12)))
-        for g in toxicity.grams_of(word):
-            n = counts.setdefault(g, [0, 0])
-            n[rng.integers(0, 2)] += 1
-    values, defaults = brute_model(counts)
-    grams = [*counts, "\nzz", "zzzzzz"]
-    t, o = (np.array([*(n[c] for n in counts.values()), 0, 0], np.float64) for c in (0, 1))
-    model = toxicity.train(pa.array(grams), t, o)
-    found = dict(zip(model.gram_keys.tolist(), model.gram_values, strict=True))
-    assert len(found) == len(values) and all(abs(found[int(h)] - values[g]) < 1e-9 for g, h in zip(values, toxicity.hash_grams(list(values)), strict=True))
-    back = dict(zip(model.context_keys.tolist(), model.context_values, strict=True))
-    assert len(back) == len(defaults) and all(abs(back[int(h)] - defaults[g]) < 1e-9 for g, h in zip(defaults, toxicity.hash_grams(list(defaults)), strict=True))
+    texts = small_corpus()
+    brute = Brute(*counted(texts))
+    sample = sampled(texts)
+    grams = toxicity.train_grams(sample.grams, sample.gram_counts[:, 0], sample.gram_counts[:, 2])
+    found = dict(zip(grams.keys.tolist(), grams.logs.T, strict=True))
+    assert len(found) == len(brute.counts)
+    for g, h in zip(brute.counts, toxicity.hash_grams(list(brute.counts)).tolist(), strict=True):
+        assert np.allclose(found[h], [math.log(brute.symbol(c, g)) for c in (0, 1)], atol=1e-9)
+    back = dict(zip(grams.context_keys.tolist(), grams.context_values, strict=True))
+    contexts = {g[:-1] for g in brute.counts}
+    assert len(back) == len(contexts)
+    logs = toxicity.word_logs(grams, sample.texts)
+    assert np.allclose(logs, [[math.log(brute.word(c, w)) for w in sample.texts] for c in (0, 1)], atol=1e-9)
+
+
+def test_toxicity_log_likelihoods_equal_brute_force():
+    texts = small_corpus()
+    brute = Brute(*counted(texts))
+    model = toxicity.train(sampled(texts), (0,))
+    docs = [texts[0][0], texts[1][0][::-1], ["abc", "new", texts[2][0][0], "ééé", "new", "abc"], ["zzzzzzzzz"], [("".join(texts[3][0]) * 300)[:230], "a"], []]  # runs of more than 200 symbols too
+    column = pa.array([" ".join(d) for d in docs])
+    at = 0
+    for part in toxicity.words_of(column):
+        raw = part.data.tobytes()
+        value = toxicity.word_evidence(model, [raw[a:b] for a, b in zip(part.starts, part.ends, strict=True)])
+        pairs = toxicity.pair_evidence(model, part, value)
+        for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True):
+            words = docs[at]
+            at += 1
+            own = [math.log(brute.word(0, w) / brute.word(1, w)) for w in words]
+            both = [math.log(brute.pair(0, v, w) / brute.pair(1, v, w)) for v, w in zip([None, *words], words)]
+            assert np.allclose(value[a:b], own, atol=1e-9) and np.allclose(pairs[a:b], both, atol=1e-9)
+    assert at == len(docs)
+
+
+def test_toxicity_probabilities_sum_to_one():
+    texts = small_corpus()
+    brute = Brute(*counted(texts))
+    alphabet = brute.symbols
+    for c in (0, 1):
+        for h in ["", "\n", "a", "\na", "bc", "\nzz", "aab", *sorted({g[:-1] for g in brute.counts})[::40]]:
+            unseen = brute.symbol(c, h[-toxicity.ORDER + 1 :] + "?")  # all symbols never seen share one place
+            assert abs(sum(brute.symbol(c, h[-toxicity.ORDER + 1 :] + s) for s in alphabet) + unseen - 1) < 1e-9
+        words = sorted({w for _, w in brute.pairs})
+        for v in [None, *words[::9], "never"]:
+            rest = 1 - sum(brute.word(c, w) for w in words)  # what words outside the vocabulary have
+            seen = sum(brute.pair(c, v, w) for w in words)
+            left = brute.pair(c, v, "abcabcab") / brute.word(c, "abcabcab")
+            assert abs(seen + left * rest - 1) < 1e-9
+
+
+def test_toxicity_sees_expressions_of_ordinary_words(spark):
+    """Two words that only together mark a text as toxic."""
+    rng = np.random.default_rng(12)
+    pool = ["".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(80)]
+    docs, labels = [], []
+    for i in range(1200):
+        words = list(rng.choice(pool, 40))
+        toxic = int(i % 4 == 0)
+        for _ in range(3):
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = ["crag", "bole"] if toxic else ["bole", "crag"]
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    found = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, _ in docs if found[i].held_out]
+    assert auc([found[i].score for i in held], [labels[i][1] for i in held]) > 0.97
+
+
+def test_toxicity_replaces_a_clashing_column(spark):
+    docs, labels = labelled(120)
+    d = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, __toxicity string")
+    out = toxicity.with_score(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert out.columns == ["doc_id", "text", "__toxicity"] and out.where("__toxicity between 0 and 1").count() == 120
 
 
 def test_toxicity_keeps_rare_grams(spark):
