@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import release
 from .words import mix64
 
 #: Sketch coordinates, each of 16 bits (four hexadecimal digits).
@@ -225,6 +226,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, size = [], 0
     if part:
         yield out(part)
+    release()
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -236,7 +238,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Other columns are ignored; an empty table gives an empty result.
 
     The ids are cut at quantiles that are ids themselves, so each range is
-    dealt to one task with the first document of the range after it, and
+    dealt to one task of its own with the first document of the range after it, and
     every text travels once, compressed.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -247,7 +249,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     low = row["low"] if row["low"] is not None else 0
     bounds = [low, *sorted({x for x in row["cuts"] or [] if x > low})] if n > 1 else [low]
     dealt = source.withColumn("tie", F.xxhash64("text")).mapInArrow(_deal(bounds, row["nulls"] > 0), "bucket int, tail int, doc_id long, tie long, text binary")
-    near = dealt.repartition(len(bounds), "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "tie")
+    near = dealt.repartitionById(len(bounds), F.col("bucket")).sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "tie")
     return near.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

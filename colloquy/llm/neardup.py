@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .shared import small, stage
+from .shared import release, small, stage
 
 BANDS, ROWS = 32, 5
 #: 64-bit words of shingle parities kept for the bound in ``_can_link``.
 PARITY_WORDS = 16
 _PARITY = [f"p{k}" for k in range(PARITY_WORDS)]
+#: Members of a bucket that one task compares with those outside the largest component.
+PART = 512
 #: Comparisons in one bucket (each a few popcounts) beyond which it is taken apart by prefix filtering.
 BUCKET_PAIRS = 4_000_000
 
@@ -96,6 +98,7 @@ def _signatures(size: int, bands: int, rows: int):
                         keys[i] = table[row].tobytes()
                 ids = batch.column("doc_id").slice(part.first, len(sets))
                 yield pa.record_batch([ids, pa.array(n), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "digest", "keys"])
+        release()
 
     return run
 
@@ -116,6 +119,7 @@ def _sets(size: int):
             for part in W.slices(batch.column("text")):
                 sets = [s.tobytes() for s in W.shingles(part, size)]
                 yield pa.record_batch([batch.column("node").slice(part.first, len(sets)), pa.array(sets, pa.binary())], ["node", "shingles"])
+        release()
 
     return run
 
@@ -130,6 +134,7 @@ def _confirm(percent: int):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.record_batch([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep))
+        release()
 
     return run
 
@@ -170,6 +175,7 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table[i] = np.bincount((place % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
         words = np.packbits(table, axis=1).view(np.int64)
         yield pa.record_batch([batch.column("node"), *(pa.array(words[:, k]) for k in range(PARITY_WORDS))], ["node", *_PARITY])
+    release()
 
 
 def _sketched(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,40 +198,59 @@ def _can_link(a: str, b: str, percent: int) -> Column:
 
 
 def _across(rows: DataFrame, percent: int, limit: int | None) -> tuple[DataFrame, DataFrame]:
-    """(pairs, nodes of buckets beyond the limit) for rows(key, node, n, component, parities).
+    """(pairs, nodes of buckets beyond the limit) for rows(key, node, n, component, pos, parities).
 
     Pairs join the members outside a bucket's largest component with the
-    members of other components.
+    members of other components. A bucket's members are dealt to parts of
+    about ``PART``, each of which meets all those outside, so that one
+    bucket is not one task's work. ``pos`` is null, or the place of
+    the key in the node's ordered set.
     """
     per = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     cost = per.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("component", "c").alias("major"), F.count("*").alias("k")).where("k > 1")
-    cost = stage(cost.select("key", "major", (F.col("m") * (F.col("m") - F.col("most"))).alias("pairs")), "buckets")
-    tagged = rows.join(cost, "key")
+    cost = stage(cost.select("key", "major", (F.col("m") * (F.col("m") - F.col("most"))).alias("pairs"), F.ceil(F.col("m") / PART).cast("int").alias("parts")), "buckets")
+    tagged = rows.join(small(cost), "key")
     fits = tagged if limit is None else tagged.where(F.col("pairs") <= limit)
-    left, right = fits.where("component <> major").alias("a"), fits.alias("b")
+    left = fits.where("component <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("a")
+    right = fits.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("b")
     on = (
         (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.part") == F.col("b.part"))
         & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.major")) | (F.col("a.node") < F.col("b.node")))
         & _can_link("a", "b", percent)
+        & _can_overlap("a", "b", percent)
     )
     pairs = left.join(right, on).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
     beyond = tagged.where(F.lit(False) if limit is None else F.col("pairs") > limit)
-    return pairs.distinct(), beyond.drop("key", "major", "pairs").distinct()
+    return pairs.distinct(), beyond.drop("key", "major", "pairs", "parts", "pos").distinct()
+
+
+def _can_overlap(a: str, b: str, percent: int) -> Column:
+    """Whether enough can follow the place of a shared key.
+
+    At the first key that two ordered sets share nothing before it is shared,
+    so one more than what follows in the shorter rest bounds the overlap; a
+    link of sizes n and m needs percent * (n + m) / (100 + percent).
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return F.coalesce((100 + percent) * rest >= percent * (n + m), F.lit(True))
 
 
 def _prefix_rows(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows keyed by the shingles of which any two sets at ``percent`` share one.
 
     Shingles are ordered by rarity within ``hot``; of n shingles the first
-    n - ceil(percent * n / 100) + 1 are indexed.
+    n - ceil(percent * n / 100) + 1 are indexed, with their place (nodes of
+    several texts have none).
     """
     each = stage(_explode_sets(sets.join(hot.select("node").distinct(), "node", "left_semi")), "hot-shingles")
     rarity = each.groupBy("key").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
     keep = F.expr(f"cast(size(s) - ceil({percent} * cast(size(s) as bigint) / 100.0) + 1 as int)")
-    keys = ranked.select("node", F.explode(F.slice("s", 1, keep)).alias("x")).select(F.col("x.key").alias("key"), "node")
-    return keys.join(hot, "node")
+    keys = ranked.select("node", F.size("s").cast("long").alias("size"), F.posexplode(F.slice("s", 1, keep)).alias("pos", "x")).select(F.col("x.key").alias("key"), "node", "pos", "size")
+    return keys.join(hot, "node").withColumn("pos", F.when(F.col("p0").isNotNull() & (F.col("size") == F.col("n")), F.col("pos"))).drop("size")
 
 
 def near_duplicates(
@@ -259,7 +284,7 @@ def near_duplicates(
     mixed = bucketed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     members = stage(bucketed.join(mixed, "key"), "mixed")
     sets = _sets_of(stage(members.select("node").distinct(), "nodes"), texts, size)
-    members = stage(_sketched(members, sets), "sketched")
+    members = stage(_sketched(members, sets).withColumn("pos", F.lit(None).cast("int")), "sketched")
     pairs, hot = _across(members, percent, bucket_pairs)
     hot = stage(hot, "hot")
     if not hot.isEmpty():
