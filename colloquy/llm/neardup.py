@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .shared import release, small, stage
+from .shared import modest_batches, release, small, stage
 
 BANDS, ROWS = 32, 5
 #: 64-bit words of shingle parities kept for the bound in ``_can_link``.
@@ -267,6 +267,7 @@ def near_duplicates(
     and come back with a null component and ``kept`` true. Other columns of
     ``docs`` are ignored.
     """
+    modest_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(source.mapInArrow(_signatures(size, bands, rows), "doc_id long, n_shingles long, digest binary, keys binary"), "signatures")
     usable = signed.where("doc_id is not null and digest is not null")

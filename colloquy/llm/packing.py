@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .bpe import cut_bytes
-from .shared import release, small, stage
+from .shared import modest_batches, release, small, stage
 
 CAPACITY = 4096
 #: Children of a merge, as a number of bits.
@@ -353,6 +353,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     for itself; ids may be null. Other columns are ignored; an empty table
     gives no pieces. No piece is ever dropped or cut to fit.
     """
+    modest_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long, child long, rank long, bin long, at long"
     # a bin's number: its level, child and place in the child; level by level places take FAN_BITS more and children as many fewer

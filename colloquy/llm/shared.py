@@ -6,10 +6,21 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from colloquy.storage import BROADCAST_ROWS, shared_root, small, stage
 
-__all__ = ["BROADCAST_ROWS", "release", "shared_root", "small", "stage"]
+__all__ = ["BROADCAST_ROWS", "modest_batches", "release", "shared_root", "small", "stage"]
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT, _MODEST = "67108864b", "8388608b"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has the default of 64 MB: each lives in the JVM and in a worker, in and out."""
+    if spark.conf.get(_BATCH_BYTES, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH_BYTES, _MODEST)
 
 
 def release() -> None:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import release
+from .shared import modest_batches, release
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -516,6 +516,7 @@ def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Rows with a null id are scored too; where labels give no model every score
     is 0. An empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     model, weights = fit(docs, labels, id_col, text_col)
     docs = docs.drop(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
