@@ -174,21 +174,11 @@ def _shared(symbols: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndar
     return [np.zeros(0), *(p[: len(symbols[k])] for k, p in enumerate(out, 1))]
 
 
-def conditionals(counts: np.ndarray, context: np.ndarray, shared: tuple[np.ndarray, np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(probability of each event, mass left for each context's backoff) of the toxic and of the ordinary class.
-
-    ``counts`` is (2, events), ``shared`` the events' shared probability as
-    each class backs off to it. A class that does not know a context hands it
-    over whole.
-    """
-    own, left = [], []
-    for n, backoff in zip(counts, shared, strict=True):
-        total, kinds = np.bincount(context, n), np.bincount(context, n > 0)
-        mass = np.where(total > 0, DISCOUNT * kinds / np.where(total > 0, total, 1), 1.0)
-        seen = np.maximum(n - DISCOUNT, 0) / np.where(total > 0, total, 1)[context]
-        own.append(seen + mass[context] * backoff)
-        left.append(mass)
-    return own, left
+def _mass(n: np.ndarray, context: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a class's count, the mass left for its backoff) of each context; one that it does not know it hands over whole."""
+    total, kinds = np.bincount(context, n, contexts), np.bincount(context, n > 0, contexts)
+    size = np.where(total > 0, total, 1)
+    return size, np.where(total > 0, DISCOUNT * kinds / size, 1.0)
 
 
 class Grams(NamedTuple):
@@ -210,27 +200,34 @@ def train_grams(grams: pa.Array, toxic: np.ndarray, ordinary: np.ndarray) -> Gra
     keys, logs, contexts, values = [], [], [], []
     for k in range(1, ORDER + 1):
         known, context = np.unique(hash_symbols(symbols[k][:, :-1]), return_inverse=True)
-        own, left = conditionals(np.stack((toxic[place[k]], ordinary[place[k]])), context, (shared[k], shared[k]))
+        counts = (toxic[place[k]], ordinary[place[k]])
+        left = [_mass(n, context, len(known)) for n in counts]
+        own = [np.maximum(n - DISCOUNT, 0) / size[context] + mass[context] * shared[k] for n, (size, mass) in zip(counts, left, strict=True)]
         keys.append(hash_symbols(symbols[k]))
         logs.append(np.log(own))
         contexts.append(known)
-        values.append(np.log(left[0] / left[1]))
+        values.append(np.log(left[0][1] / left[1][1]))
     key, log = np.concatenate(keys), np.concatenate(logs, axis=1)
     order = np.argsort(key)
     return Grams(key[order], log[:, order], *_by_key(np.concatenate(contexts), np.concatenate(values)))
 
 
-def train_pairs(first: np.ndarray, second: np.ndarray, counts: np.ndarray, words: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(pair keys, values, first words, values) from the (2, pairs) counts and the (2, words) log-probabilities of the sorted ``words``."""
-    used = counts.sum(axis=0) > 0
-    first, second, counts = first[used], second[used], counts[:, used]
+def train_pairs(first: np.ndarray, second: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, words: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair keys, values, first words, values) from the pairs' counts and the (2, words) log-probabilities of the sorted ``words``; blocks of pairs at a time."""
+    used = np.flatnonzero(toxic + ordinary)
+    first, second, toxic, ordinary = first[used], second[used], toxic[used], ordinary[used]
     known, context = np.unique(first, return_inverse=True)
-    every = counts.sum(axis=0)
-    total, kinds = np.bincount(context, every), np.bincount(context)
-    word = np.exp(logs[:, np.searchsorted(words, second)])
-    shared = (np.maximum(every - DISCOUNT, 0) + DISCOUNT * kinds[context] * word) / total[context]
-    own, left = conditionals(counts, context, (shared[0], shared[1]))
-    return *_by_key(pair_key(first, second), np.log(own[0] / own[1])), *_by_key(known, np.log(left[0] / left[1]))
+    context = context.astype(np.int32)
+    total, kinds = np.bincount(context, toxic) + np.bincount(context, ordinary), np.bincount(context)
+    left = [_mass(n, context, len(known)) for n in (toxic, ordinary)]
+    value = np.empty(len(first), np.float32)
+    for a in range(0, len(first), BLOCK_SYMBOLS):
+        at = slice(a, a + BLOCK_SYMBOLS)
+        c, word = context[at], np.exp(logs[:, np.searchsorted(words, second[at])])
+        shared = (np.maximum(toxic[at] + ordinary[at] - DISCOUNT, 0) + DISCOUNT * kinds[c] * word) / total[c]
+        own = [np.maximum(n[at] - DISCOUNT, 0) / size[c] + mass[c] * s for n, (size, mass), s in zip((toxic, ordinary), left, shared, strict=True)]
+        value[at] = np.log(own[0] / own[1])
+    return *_by_key(pair_key(first, second), value), known, np.log(left[0][1] / left[1][1]).astype(np.float32)
 
 
 def word_logs(grams: Grams, words: list[str]) -> np.ndarray:
@@ -247,23 +244,23 @@ def word_logs(grams: Grams, words: list[str]) -> np.ndarray:
 
 
 class Sample(NamedTuple):
-    """Counts of the labelled sample, a column for each of ``FOLDS``."""
+    """Counts of the labelled sample, an array for each of ``FOLDS``."""
 
     grams: pa.Array
-    gram_counts: np.ndarray
+    gram_counts: list[np.ndarray]
     first: np.ndarray
     second: np.ndarray
-    pair_counts: np.ndarray
+    pair_counts: list[np.ndarray]
     words: np.ndarray
     texts: list[str]
 
 
 def train(sample: Sample, folds: tuple[int, ...]) -> Model:
     """The model of the documents of some folds."""
-    g = [sample.gram_counts[:, [c + f for f in folds]].sum(axis=1) for c in (0, 2)]
-    grams = train_grams(sample.grams, *g)
-    counts = np.stack([sample.pair_counts[:, [c + f for f in folds]].sum(axis=1) for c in (0, 2)]).astype(np.float64)
-    pairs = train_pairs(sample.first, sample.second, counts, sample.words, word_logs(grams, sample.texts))
+    classes = lambda counts: [sum(counts[c + f] for f in folds) for c in (0, 2)]
+    grams = train_grams(sample.grams, *classes(sample.gram_counts))
+    pairs = train_pairs(sample.first, sample.second, *classes(sample.pair_counts), sample.words, word_logs(grams, sample.texts))
+    release()
     return Model(grams.keys, grams.logs[0] - grams.logs[1], grams.context_keys, grams.context_values, *pairs)
 
 
@@ -480,14 +477,18 @@ def sample_counts(rows: DataFrame, pair_rows: DataFrame) -> Sample:
     """All n-grams and pairs of the sampled rows."""
     sums = [F.sum(c).alias(c) for c in FOLDS]
     grams = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} long" for c in FOLDS)).groupBy("gram").agg(*sums).toArrow()
+    gram_counts = [grams[c].to_numpy().astype(np.float64) for c in FOLDS]
+    grams = grams["gram"].combine_chunks()
     pairs = pair_rows.mapInArrow(_pair_counts, "v long, w long, " + ", ".join(f"{c} int" for c in FOLDS)).groupBy("v", "w").agg(*(s.cast("int").alias(c) for s, c in zip(sums, FOLDS, strict=True))).toArrow()
+    first, second, *pair_counts = (pairs[c].to_numpy() for c in ("v", "w", *FOLDS))
+    del pairs
     words = pair_rows.mapInArrow(_vocabulary, "w long, word string").groupBy("w").agg(F.min("word").alias("word")).toArrow()
-    table = lambda t, kind: np.column_stack([t[c].to_numpy() for c in FOLDS]).astype(kind)
-    order = np.argsort(words["w"].to_numpy().view(np.uint64))
-    return Sample(
-        grams["gram"].combine_chunks(), table(grams, np.float64), pairs["v"].to_numpy().view(np.uint64), pairs["w"].to_numpy().view(np.uint64), table(pairs, np.int32),
-        words["w"].to_numpy().view(np.uint64)[order], words["word"].take(pa.array(order)).to_pylist(),
-    )
+    hashes = words["w"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    sample = Sample(grams, gram_counts, first.view(np.uint64), second.view(np.uint64), pair_counts, hashes[order], words["word"].take(pa.array(order)).to_pylist())
+    del words
+    release()
+    return sample
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_pair_docs: int = MAX_PAIR_DOCS) -> tuple[Model | None, np.ndarray | None]:
@@ -499,7 +500,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     rows, pair_rows = _sampled(docs, labels, id_col, text_col, max_docs, max_pair_docs)
     sample = sample_counts(rows, pair_rows)
-    if not len(sample.gram_counts) or not sample.gram_counts.sum(axis=0).all():
+    if not all(n.sum() for n in sample.gram_counts):
         return None, None
     halves = tuple(train(sample, (f,)) for f in (0, 1))
     features = rows.mapInArrow(_fold_features(halves), "toxic int, x array<double>").toArrow()
