@@ -43,8 +43,8 @@ NEARLY_FULL = 0.999
 #: Pieces that one task packs together, as a number of bits.
 LOCAL_BITS = 18
 #: Bytes of remembered chunks (with what the memory itself costs) after which a task starts afresh.
-MEMORY_BYTES = 48 << 20
-SLICE_BYTES = 6 << 20
+MEMORY_BYTES = 40 << 20
+SLICE_BYTES = 3 << 20
 _ENTRY_BYTES = 200
 
 

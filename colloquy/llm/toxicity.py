@@ -42,10 +42,10 @@ DISCOUNT = 0.75
 MAX_DOCS, MAX_PAIR_DOCS = 20_000, 4_000
 #: Words in a stretch whose mean decides how toxic its worst part is.
 STRETCHES = (1, 3, 12)
-CACHE_ENTRIES = 200_000
-SLICE_BYTES = 1 << 20
+CACHE_ENTRIES = 150_000
+SLICE_BYTES = 3 << 18
 #: Symbols whose hashes are held at a time.
-BLOCK_SYMBOLS = 1 << 17
+BLOCK_SYMBOLS = 1 << 15
 #: Distinct n-grams after which a task hands on the counts it holds.
 FLUSH_GRAMS = 100_000
 #: White space as ``str.split`` has it, beyond what separates words in ``words.py``.
