@@ -241,19 +241,6 @@ class WordTokenizer:
         return data[: size.sum()], size
 
 
-def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, large strings without nulls) of consecutive rows of about ``limit`` bytes."""
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
-        yield a, column.slice(a, b - a)
-        a = b
-
-
 def _pieces(ids: np.ndarray, sizes: np.ndarray, end_id: int, capacity: int) -> tuple[np.ndarray, ...]:
     """(document, piece, start, length, crc32) of the pieces of some documents, each closed by the end id."""
     full = np.empty(len(ids) + len(sizes), "<u4")
@@ -290,7 +277,7 @@ def _local(path: str, capacity: int, end_id: int, full: float):
 
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, texts in text_slices(batch.column("text"), SLICE_BYTES):
+            for first, texts in W.text_slices(batch.column("text"), SLICE_BYTES):
                 doc, *columns = _pieces(*tokenizer.encode(texts), end_id, capacity)
                 held.append(pa.record_batch([ids.take(pa.array(first + doc)), *(pa.array(c, pa.int64()) for c in columns)], names[:5]))
                 if sum(map(len, held)) >= 1 << LOCAL_BITS:

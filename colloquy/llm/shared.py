@@ -14,11 +14,11 @@ __all__ = ["BROADCAST_ROWS", "modest_batches", "release", "shared_root", "small"
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_DEFAULT, _MODEST = "67108864b", "8388608b"
+_DEFAULT, _MODEST = "67108864b", "6291456b"
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB where the session has the default of 64 MB: each lives in the JVM and in a worker, in and out."""
+    """Arrow batches of 6 MB where the session has the default of 64 MB: each lives in the JVM and in a worker, in and out."""
     if spark.conf.get(_BATCH_BYTES, _DEFAULT) == _DEFAULT:
         spark.conf.set(_BATCH_BYTES, _MODEST)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import modest_batches, release
+from .shared import modest_batches, release, stage
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -43,7 +43,7 @@ MAX_DOCS, MAX_PAIR_DOCS = 20_000, 4_000
 #: Words in a stretch whose mean decides how toxic its worst part is.
 STRETCHES = (1, 3, 12)
 CACHE_ENTRIES = 150_000
-SLICE_BYTES = 3 << 18
+SLICE_BYTES = 1 << 19
 #: Symbols whose hashes are held at a time.
 BLOCK_SYMBOLS = 1 << 15
 #: Distinct n-grams after which a task hands on the counts it holds.
@@ -59,7 +59,8 @@ _BEGIN = np.uint64(0x2545F4914F6CDD1D)
 
 def words_of(column: pa.Array) -> Iterator[W.Words]:
     """Lower-cased words of a string array, some whole documents at a time."""
-    return W.slices(pc.replace_substring_regex(pc.utf8_lower(column), _OTHER_SPACE, " "), SLICE_BYTES)
+    for first, some in W.text_slices(column, SLICE_BYTES):
+        yield from (part._replace(first=first + part.first) for part in W.slices(pc.replace_substring_regex(pc.utf8_lower(some), _OTHER_SPACE, " "), 2 * SLICE_BYTES))
 
 
 def before(part: W.Words) -> np.ndarray:
@@ -382,20 +383,13 @@ def _evidence_of(model: Model, column: pa.Array, memory: dict[int, float]) -> It
         yield part.first, [_features(value[a:b]) + _features(pairs[a:b] - value[a:b]) for a, b in zip(part.bounds[:-1], part.bounds[1:], strict=True)]
 
 
-def _fold_features(models: tuple[Model, Model]):
-    """Features of training documents under the model of the other fold."""
-
+def _features_under(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memories: tuple[dict, dict] = ({}, {})
+        memory: dict[int, float] = {}
         for batch in batches:
-            fold = batch.column("fold").to_numpy()
-            for f in (0, 1):
-                rows = np.flatnonzero(fold == f)
-                part = batch.take(pa.array(rows))
-                found = [x for _, xs in _evidence_of(models[1 - f], part.column("text"), memories[f]) for x in xs]
-                yield pa.record_batch([part.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
-        for memory in memories:
-            memory.clear()
+            found = [x for _, xs in _evidence_of(model, batch.column("text"), memory) for x in xs]
+            yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "x"])
+        memory.clear()
         release()
 
     return run
@@ -462,19 +456,22 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int, max_pair_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(text, toxic, fold) of the labelled rows that words, and that pairs, are learnt from."""
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int, max_pair_docs: int) -> DataFrame:
+    """Staged (text, toxic, fold, pairs) of the labelled rows that words, and that pairs too, are learnt from."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = stage(known.orderBy(*order).limit(max_docs), "chosen")
+    for_pairs = chosen.orderBy(*order).limit(max_pair_docs).select("doc_id", F.lit(True).alias("pairs"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")
-    chosen = lambda n: F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
-    rows = [source.join(chosen(n), "doc_id").select("text", "toxic", fold.alias("fold")) for n in (max_docs, min(max_docs, max_pair_docs))]
-    return rows[0], rows[1]
+    rows = source.join(F.broadcast(chosen), "doc_id").join(F.broadcast(for_pairs), "doc_id", "left")  # both bounded by the limits
+    return stage(rows.select("text", "toxic", fold.alias("fold"), F.coalesce("pairs", F.lit(False)).alias("pairs")), "sample")
 
 
-def sample_counts(rows: DataFrame, pair_rows: DataFrame) -> Sample:
+def sample_counts(rows: DataFrame) -> Sample:
     """All n-grams and pairs of the sampled rows."""
+    pair_rows, rows = rows.where("pairs").drop("pairs"), rows.drop("pairs")
     sums = [F.sum(c).alias(c) for c in FOLDS]
     grams = rows.mapInArrow(_gram_counts, "gram string, " + ", ".join(f"{c} long" for c in FOLDS)).groupBy("gram").agg(*sums).toArrow()
     gram_counts = [grams[c].to_numpy().astype(np.float64) for c in FOLDS]
@@ -498,15 +495,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     as toxic if one is. Without rows of both classes in both folds there is no
     model. Several rows of a sampled id are all used.
     """
-    rows, pair_rows = _sampled(docs, labels, id_col, text_col, max_docs, max_pair_docs)
-    sample = sample_counts(rows, pair_rows)
+    rows = _sampled(docs, labels, id_col, text_col, max_docs, max_pair_docs)
+    sample = sample_counts(rows)
     if not all(n.sum() for n in sample.gram_counts):
         return None, None
-    halves = tuple(train(sample, (f,)) for f in (0, 1))
-    features = rows.mapInArrow(_fold_features(halves), "toxic int, x array<double>").toArrow()
+    features = []
+    for f in (0, 1):  # each half under the model of the other
+        half = rows.where(F.col("fold") == f).select("toxic", "text")
+        features.append(half.mapInArrow(_features_under(train(sample, (1 - f,))), "toxic int, x array<double>").toArrow())
+    features = pa.concat_tables(features)
     x = _prepared(np.array(features["x"].to_pylist()))
     weights = fit_logistic(x, (features["toxic"].to_numpy() > 0).astype(float))
-    del halves
     return train(sample, (0, 1)), weights
 
 

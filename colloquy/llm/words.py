@@ -72,6 +72,19 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs
 
 
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, large strings without nulls) of consecutive rows of about ``limit`` bytes."""
+    column = column.cast(pa.large_string()).fill_null("")
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        yield a, column.slice(a, b - a)
+        a = b
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
     """Words of all documents of ``column``, whole documents at a time."""
     raw, offs = string_buffers(column)
