@@ -10,17 +10,22 @@ score decides about the proposals that this operator adds: account numbers
 
 Positions come from two native functions: what ``split`` leaves between the
 matches and what ``regexp_extract_all`` gives as matches alternate, so
-running lengths of both are the offsets.
+running lengths of both are the offsets. Arrays are built in blocks and
+pieces of a text are taken from chunks of it, so the work on a text follows its
+length and its number of matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 
 class Kind(NamedTuple):
     """``pattern`` proposes; it is written without backtracking so that long runs cost linear time."""
@@ -97,8 +102,60 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _accounts(text: Column, heads: Column) -> Column:
-    """Account numbers (array<struct<start,end,match>>) that begin at some heads and whose checksum holds, none inside another.
+#: Items that are appended to one array before a new one begins, and code points of a chunk.
+BLOCK, CHUNK = 128, 256
+_SPAN = "struct<start:int,end:int,match:string>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _fold(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """struct<at, out>: a running position from 0 and what each step gives out, in order.
+
+    ``step(at, item)`` is (the new position, whether to give out, what). Each
+    block fills an array of its own and arrays of blocks are joined at the
+    end: appending to one array would copy it at every item.
+    """
+
+    def one(acc: Column, x: Column) -> Column:
+        at, emit, what = step(acc["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.when(emit, F.concat(acc["out"], F.array(what))).otherwise(acc["out"]).alias("out"))
+
+    def block(items: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+        none = F.array().cast(f"array<{kind}>")
+        return F.when(
+            F.size(items) > 0,
+            F.aggregate(
+                starts,
+                F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+                lambda acc, k: _let(
+                    F.aggregate(F.slice(items, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), one), lambda inner: F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+                ),
+                lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")),
+            ),
+        ).otherwise(F.struct(F.lit(0).alias("at"), none.alias("out")))
+
+    return _let(items, block)
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in chunks of ``CHUNK`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of the text, at a cost that does not depend on the place."""
+    first = F.floor(start / CHUNK).cast("int")
+    several = F.floor((F.greatest(end, start + 1) - 1) / CHUNK).cast("int") - first + 1
+    return F.when(end > start, F.substring(F.array_join(F.slice(chunks, first + 1, several), ""), start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
+
+
+def _accounts(chunks: Column, heads: Column) -> Column:
+    """Account numbers (array of ``_SPAN``) that begin at some heads and whose checksum holds, none inside another.
 
     Capitals and digits may follow a number, so each prefix of allowed size
     that ends where a word does is tested: the country's usual size counts
@@ -107,11 +164,9 @@ def _accounts(text: Column, heads: Column) -> Column:
     least, most = ACCOUNT_SIZES
     usual = F.create_map(*(F.lit(x) for u in _USUAL for x in (u[:2], int(u[2:]))))
 
-    def account(start: Column) -> Column:
-        window = F.substring(text, start + 1, F.lit(2 * most))  # with the spaces, and the character after it
-        sizes = F.sequence(F.lit(least), F.lit(most))
+    def account(window: Column) -> Column:
         prefixes = F.transform(
-            sizes,
+            F.sequence(F.lit(least), F.lit(most)),
             lambda n: F.struct(
                 F.coalesce(F.try_element_at(usual, F.substring(window, 1, 2)) == n, F.lit(False)).alias("usual"),
                 n.alias("size"),
@@ -120,47 +175,38 @@ def _accounts(text: Column, heads: Column) -> Column:
         )
         return F.array_max(F.filter(prefixes, lambda p: p["match"].isNotNull() & mod_97(F.replace(p["match"], F.lit(" "), F.lit("")))))["match"]
 
-    tried = F.filter(F.transform(heads, lambda s: F.struct(s["start"].alias("start"), account(s["start"]).alias("match"))), lambda s: s["match"].isNotNull())
-    return F.aggregate(
-        tried,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(
-                (s["start"] + F.char_length(s["match"])).alias("at"),
-                F.concat(acc["found"], F.array(F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["match"])).alias("end"), s["match"].alias("match")))).alias("found"),
-            )
-        ),
-    )["found"]
+    window = lambda s: _piece(chunks, s["start"], s["start"] + 2 * most)  # noqa: E731  with the spaces, and the character after it
+    tried = F.filter(F.transform(heads, lambda s: F.struct(s["start"].alias("start"), _let(window(s), account).alias("match"))), lambda s: s["match"].isNotNull())
+
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        end, free = s["start"] + F.char_length(s["match"]), s["start"] >= at
+        return F.when(free, end).otherwise(at), free, F.struct(s["start"].alias("start"), end.alias("end"), s["match"].alias("match"))
 
+    return _fold(tried, _SPAN, step)["out"]
 
-def _spans(text: Column, kind: Kind) -> Column:
+
+def _spans(text: Column, chunks: Column, kind: Kind) -> Column:
     """array<struct<kind,start,end,score>> of one kind's confirmed proposals, by start."""
-    pattern = F.lit(kind.pattern)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    at = F.aggregate(
-        F.arrays_zip(matches.alias("m"), gaps.alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["g"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-            F.when(
-                x["m"].isNotNull(),
-                F.concat(acc["found"], F.array(F.struct((acc["at"] + F.char_length(x["g"])).alias("start"), (acc["at"] + F.char_length(x["g"]) + F.char_length(x["m"])).alias("end"), x["m"].alias("match")))),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-    )["found"]
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.char_length(g))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        start = at + x["g"]
+        end = start + F.coalesce(F.char_length(x["m"]), F.lit(0))
+        return end, x["m"].isNotNull(), F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))
+
+    at = _fold(F.arrays_zip(matches.alias("m"), gaps.alias("g")), _SPAN, step)["out"]
     if kind.name == "iban":
-        at = _accounts(text, at)
+        at = _accounts(chunks, at)
     return F.transform(
         F.filter(at, lambda s: _valid(kind.name, s["match"])),
-        lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(text, kind, s).alias("score")),
+        lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(chunks, kind, s).alias("score")),
     )
 
 
-def _score(text: Column, kind: Kind, s: Column) -> Column:
+def _score(chunks: Column, kind: Kind, s: Column) -> Column:
     """The kind's own score, raised where a context word stands nearby."""
-    from_ = F.greatest(s["start"] - NEARBY, F.lit(0))
-    around = F.concat(F.substring(text, from_ + 1, s["start"] - from_), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEARBY)))
+    around = F.concat(_piece(chunks, F.greatest(s["start"] - NEARBY, F.lit(0)), s["start"]), F.lit(" "), _piece(chunks, s["end"], s["end"] + NEARBY))
     return F.least(F.lit(1.0), F.lit(kind.base_score) + F.when(around.rlike(rf"(?i)\b(?:{kind.context})"), CONTEXT_BONUS).otherwise(0.0))
 
 
@@ -174,21 +220,25 @@ def with_spans(docs: DataFrame, text_col: str = "text", column: str = "__pii") -
     Spans are ordered by kind as listed (base kinds first), then by start;
     positions count code points, ends are exclusive. Added spans never
     overlap a base span. A null text has no spans; one row comes back for
-    each input row, all other columns as they are.
+    each input row, all other columns as they are; a column named ``column``
+    is replaced.
     """
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    hints = {k.name: text.contains("@") if k.name == "email" else text.rlike(_HINT[k.name]) for k in (*BASE, *ADDED)}
 
-    def of(kind: Kind) -> Column:
-        hint = text.contains("@") if kind.name == "email" else text.rlike(_HINT[kind.name])
-        return F.when(hint, _spans(text, kind)).otherwise(none)
+    def found(chunks: Column) -> Column:
+        base, added = (reduce(lambda a, b: F.concat(a, b), [F.when(hints[k.name], _spans(text, chunks, k)).otherwise(none) for k in kinds]) for kinds in (BASE, ADDED))
+        return F.struct(base.alias("base"), added.alias("added"))
 
-    base = reduce(lambda a, b: F.concat(a, b), [of(k) for k in BASE])
-    added = reduce(lambda a, b: F.concat(a, b), [of(k) for k in ADDED])
-    held = docs.withColumn(column, F.struct(base.alias("base"), added.alias("added")))
-    b, more = F.col(f"{column}.base"), F.col(f"{column}.added")
-    fresh = F.filter(more, lambda s: (s["score"] >= LEAST_SCORE) & ~F.exists(b, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    return held.withColumn(column, F.when(F.size(more) == 0, b).otherwise(F.concat(b, fresh)))
+    any_hint = reduce(lambda a, b: a | b, hints.values())
+    held = F.when(any_hint, _let(chunks_of(text), found)).otherwise(F.struct(none.alias("base"), none.alias("added")))
+
+    def together(h: Column) -> Column:
+        free = F.filter(h["added"], lambda s: (s["score"] >= LEAST_SCORE) & ~F.exists(h["base"], lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+        return F.when(F.size(h["added"]) == 0, h["base"]).otherwise(F.concat(h["base"], free))
+
+    return docs.withColumn(column, _let(held, together))
 
 
 def joined(spans: Column) -> Column:
@@ -207,16 +257,18 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans are replaced together, under the kind of the first.
     Rows without spans, nulls included, come back as they are.
     """
-    held = with_spans(docs, text_col)
-    text, ordered = F.col(text_col), F.array_sort(F.transform(F.col("__pii"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        ordered,
-        start,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
-        ),
-    )
-    redacted = F.when(F.size("__pii") == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
-    return held.withColumn(text_col, redacted).drop("__pii")
+    column = fresh(docs, "__pii")
+    held = with_spans(docs, text_col, column)
+    text, spans = F.col(text_col), F.col(column)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
+
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        return F.greatest(at, s["end"]), s["start"] >= at, F.struct(at.alias("from"), s["start"].alias("to"), s["kind"].alias("kind"))
+
+    def replaced(chunks: Column, done: Column) -> Column:
+        parts = F.transform(done["out"], lambda o: F.concat(_piece(chunks, o["from"], o["to"]), F.lit("["), F.upper(o["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _piece(chunks, done["at"], F.char_length(text)))
+
+    both = F.struct(chunks_of(text).alias("chunks"), _fold(ordered, "struct<from:int,to:int,kind:string>", step).alias("done"))
+    redacted = F.when(F.size(spans) == 0, text).otherwise(_let(both, lambda x: replaced(x["chunks"], x["done"])))
+    return held.withColumn(text_col, redacted).drop(column)

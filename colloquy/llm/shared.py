@@ -6,11 +6,19 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.storage import BROADCAST_ROWS, shared_root, small, stage
 
-__all__ = ["BROADCAST_ROWS", "modest_batches", "release", "shared_root", "small", "stage"]
+__all__ = ["BROADCAST_ROWS", "fresh", "modest_batches", "release", "shared_root", "small", "stage"]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -356,6 +357,27 @@ def test_redaction_and_native_plan(spark):
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_many_spans_in_one_text_cost_linear_time(spark):
+    text = "é🙂 " + "".join(f"u{k}@ex.org {k % 250}.1.1.1 DE89370400440532013000 ? " for k in range(2_000)) + "tail"
+    many = "".join(f"name{k}@example.org " for k in range(100_000))
+    frame = spark.createDataFrame([(1, text), (2, many)], "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.spans for r in pii.find(frame.where("doc_id = 1")).collect()}[1]
+    base = [f"{s.kind}:{s.start}:{s.end}" for s in found if s.kind != "iban"]
+    assert base == brute_spans(text) and all(text[s.start : s.end] == "DE89370400440532013000" for s in found if s.kind == "iban")
+    assert len(found) == 6_000
+    redacted = pii.redact(frame.where("doc_id = 1")).collect()[0].text
+    assert redacted == "é🙂 " + "[EMAIL] [IP] [IBAN] ? " * 2_000 + "tail"
+    began = time.perf_counter()
+    assert pii.redact(frame.where("doc_id = 2")).collect()[0].text == "[EMAIL] " * 100_000
+    assert time.perf_counter() - began < 20
+
+
+def test_personal_data_keeps_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a@b.co", "kept", 5)], "doc_id long, text string, __pii string, __PII_ int")
+    out = pii.redact(frame)
+    assert out.columns == frame.columns and [tuple(r) for r in out.collect()] == [(1, "[EMAIL]", "kept", 5)]
+
+
 # -------------------------------------------------------------- exact top-k
 
 
