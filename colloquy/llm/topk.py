@@ -8,8 +8,10 @@ on proof alone: a vector is out once its accumulator plus all it could still
 gain is below the k-th best exact score seen, and every vector that is not
 out is scored exactly.
 
-Blocks of vectors meet blocks of queries in cells of bounded size; each cell
-returns k rows a query, and a ranking over cells picks the k best.
+Each block of vectors lives in one task, which builds its index once and then
+lets all queries stream by; so vectors move once, and only the queries, far fewer, are
+copied to every block. Each block gives k rows a query, and a ranking picks
+the k best.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import release, stage
 
-#: Vectors and queries that meet in one cell, on average.
-BLOCK, QUERIES = 65_536, 256
+#: Vectors in a block, and the least worth a block of its own while there are idle cores.
+BLOCK, LEAST_BLOCK = 65_536, 8_192
 LEVELS = 32
 _SEEN = 1 << 48
 
@@ -35,7 +37,6 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
         self.ids, self.x = ids, x
-        self.repeats = len(np.unique(ids)) < len(ids)
         self.dims: list[list[tuple[np.ndarray, int, int]]] = []
         self.low, self.high = x.min(axis=0), x.max(axis=0)
         for d in range(x.shape[1]):
@@ -47,7 +48,7 @@ class ImpactIndex:
             self.dims.append([(p, int(column[p].min()), int(column[p].max())) for p in parts])
 
     def search(self, q: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id; rows whose id is ``own`` take no part."""
+        """The k best (score, id), ties to the smaller id; the row at place ``own`` takes no part."""
         n, dims = self.x.shape
         plan, base, slack = [], 0, 0
         for d in np.flatnonzero(q):
@@ -62,12 +63,14 @@ class ImpactIndex:
             slack += widest
         plan.sort(key=lambda s: -s[0])
         used = int(np.count_nonzero(q))
-        allowed = self.ids != own if own is not None else np.ones(n, bool)
+        allowed = np.ones(n, bool)
+        if own is not None:
+            allowed[own] = False
         acc = np.zeros(n, np.int64)
         step = max(1, len(plan) // 12)
         members, best = np.flatnonzero(allowed), None
         for i, (impact, gain, ids) in enumerate(plan):
-            if i % step == 0 and i >= 3 * step and not self.repeats:
+            if i % step == 0 and i >= 3 * step:
                 seen, low = acc >> 48, acc & (_SEEN - 1)
                 if best is None or i % (3 * step) == 0:
                     some = np.argpartition(np.where(allowed, low, -1), max(0, n - 8 * k))[max(0, n - 8 * k) :]
@@ -85,8 +88,6 @@ class ImpactIndex:
                 members = np.flatnonzero(allowed & ((acc & (_SEEN - 1)) + (base + slack) >= best))
         scores = self.x[members] @ q
         order = np.lexsort((self.ids[members], -scores))
-        if self.repeats:
-            order = order[np.sort(np.unique(self.ids[members[order]], return_index=True)[1])]
         return [(int(scores[o]), int(self.ids[members[o]])) for o in order[:k]]
 
 
@@ -106,25 +107,44 @@ def _quantise(scale: int):
     return run
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = [np.frombuffer(v.as_buffer(), np.int64) for v in column]
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of ``width`` integers; shorter ones end in zeros, and what is beyond ``width`` meets only zeros."""
+    out = np.zeros((len(column), width), np.int64)
+    for i, v in enumerate(column):
+        r = np.frombuffer(v.as_buffer(), np.int64)[:width]
         out[i, : len(r)] = r
     return out
 
 
-def _cell(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        is_query = table.column("is_query").to_numpy()
-        width = max([0, *(len(v.as_buffer()) // 8 for v in table.column("v"))])
-        found: list[tuple[int, int, int]] = []
-        vectors, queries = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
-        if len(vectors) and len(queries):
-            index = ImpactIndex(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v"), width))
-            for i, q in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("v"), width), strict=True):
-                found += [(i, other, score) for score, other in index.search(q, i, k)]
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["query_id", "vec_id", "score"])
+def _block(k: int):
+    """Rows of one block, its vectors before all queries: k rows a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        index, place, width = None, {}, 0
+        for batch in batches:
+            is_query = batch.column("is_query").to_numpy(zero_copy_only=False)
+            if not is_query.all():
+                held.append(batch.filter(pa.array(~is_query)))
+            queries = batch.filter(pa.array(is_query))
+            if not len(queries):
+                continue
+            if index is None and held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                held = []
+                width = max(len(v.as_buffer()) // 8 for v in rows.column("v").chunk(0))
+                index = ImpactIndex(rows.column("vec_id").to_numpy(), _matrix(rows.column("v").chunk(0), width))
+                place = {r: i for i, r in enumerate(rows.column("row").to_pylist())}
+            if index is None:
+                continue  # a block without vectors
+            found = [
+                (row, i, other, score)
+                for row, i, q in zip(queries.column("row").to_pylist(), queries.column("vec_id").to_pylist(), _matrix(queries.column("v"), width), strict=True)
+                for score, other in index.search(q, place.get(row), k)
+            ]
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["row", "query_id", "vec_id", "score"])
+        release()
 
     return run
 
@@ -133,22 +153,20 @@ def exact_top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec
     """(query_id, rank, vec_id, score): the ``k`` highest integer inner products of each query.
 
     Components become floor(scale * x). The rows for which ``queries`` (a
-    condition on ``vec_id``) holds are searched against all rows but those of
-    their own id. Ties go to the smaller id; rows that repeat an id are one
-    candidate (their best score) and one query. Rows with a null id or vector,
+    condition on ``vec_id``) holds are searched against every row but
+    themselves. Ties go to the smaller id. Rows that repeat an id are
+    candidates, and queries, each for itself. Rows with a null id or vector,
     or a null or non-finite component, take no part; shorter vectors count as
     ending in zeros. Other columns are ignored; an empty table gives no rows.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = stage(source.mapInArrow(_quantise(scale), "vec_id long, v binary"), "vectors")
-    size = rows.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
-    blocks, groups = max(1, math.ceil(size["n"] / BLOCK)), max(1, math.ceil(size["q"] / QUERIES))
-    spread = F.xxhash64("vec_id")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.select(F.pmod(spread, F.lit(blocks)).cast("int").alias("vb"), copies(groups).alias("qb"), F.lit(False).alias("is_query"), "vec_id", "v")
-    right = rows.where(queries).select(copies(blocks).alias("vb"), F.pmod(spread, F.lit(groups)).cast("int").alias("qb"), F.lit(True).alias("is_query"), "vec_id", "v")
-    cells = left.unionByName(right).repartition(blocks * groups, "vb", "qb").groupBy("vb", "qb")
-    found = cells.applyInArrow(_cell(k), "query_id long, vec_id long, score long")
-    distinct = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return distinct.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = stage(source.mapInArrow(_quantise(scale), "vec_id long, v binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    n = rows.count()
+    blocks = max(1, math.ceil(n / BLOCK), min(spark.sparkContext.defaultParallelism, math.ceil(n / LEAST_BLOCK)))
+    own = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("is_query"), "row", "vec_id", "v")
+    copied = rows.where(queries).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"), "row", "vec_id", "v")
+    dealt = own.unionByName(copied).repartitionById(blocks, F.col("block")).sortWithinPartitions("is_query")
+    found = dealt.mapInArrow(_block(k), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

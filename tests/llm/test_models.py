@@ -390,27 +390,25 @@ def test_index_is_exact(n, dims, spread, seed):
     for i in range(min(n, 5)):
         s = x @ x[i]
         expected = sorted(((-int(a), int(b)) for a, b in zip(s, ids, strict=True) if b != ids[i]))[:5]
-        assert index.search(x[i], ids[i], 5) == [(-a, b) for a, b in expected]
+        assert index.search(x[i], i, 5) == [(-a, b) for a, b in expected]
 
 
-def test_top_k_query(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 100)
-    monkeypatch.setattr(topk, "QUERIES", 4)
+@pytest.mark.parametrize("block", [100, 10**6])
+def test_top_k_query(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (500, 8))
     x[100:300] = x[100]  # one vector many times: ties
     rows = [(i, [float(v) for v in r], "clash") for i, r in enumerate(x)]
-    bad = [(1000, None, ""), (1050, [1.0, None], ""), (1100, [math.nan] * 8, ""), (1150, [math.inf] * 8, ""), (None, [1.0] * 8, ""), (7, [9.0] * 8, "")]
-    found = topk.exact_top_k(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score string"), F.col("vec_id") % 50 == 0).collect()
-    q = np.floor(256 * np.float32(x).astype(np.float64)).astype(np.int64)
-    table = [(i, v) for i, v in enumerate(q)] + [(7, np.full(8, 9 * 256))]
+    bad = [(1000, None, ""), (1050, [1.0, None], ""), (1100, [math.nan] * 8, ""), (1150, [math.inf] * 8, ""), (None, [1.0] * 8, "")]
+    more = [(7, [9.0] * 8, ""), (7, [9.0] * 8, ""), (50, [2.0, -1.0], ""), (50, [float(v) for v in x[50]], "")]  # ids that repeat, queries among them
+    found = topk.exact_top_k(spark.createDataFrame(rows + bad + more, "vec_id long, embedding array<float>, score string"), F.col("vec_id") % 50 == 0).collect()
+    table = [(i, np.floor(256 * np.float32(v + [0.0] * (8 - len(v))).astype(np.float64)).astype(np.int64)) for i, v, _ in rows + more]
     expected = []
-    for i in range(0, 500, 50):
-        best = {}
-        for j, v in table:
-            if j != i:
-                best[j] = max(best.get(j, -(10**18)), int(v @ q[i]))
-        expected += [(i, k + 1, j, s) for k, (j, s) in enumerate(sorted(best.items(), key=lambda t: (-t[1], t[0]))[:5])]
+    for at, (i, q) in enumerate(table):
+        if i % 50 == 0:
+            best = sorted((-int(v @ q), j) for other, (j, v) in enumerate(table) if other != at)[:5]
+            expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == sorted(expected)
 
 
