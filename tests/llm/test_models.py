@@ -451,11 +451,90 @@ def test_language_model_edge_tables(spark):
     assert [tuple(r) for r in row] == [(only, True, 3, 0, 0, 0.0, 0.0)]
 
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    w = rng.normal(size=(maxent.FEATURES, 5)).astype(np.float32)
-    f = rng.integers(0, maxent.FEATURES, (maxent.ACTIVE, 50))
-    assert np.allclose(maxent.probabilities(w, f).sum(axis=1), 1, atol=1e-5)
+def toy_model(k=5, hashes=64, seed=1):
+    rng = np.random.default_rng(seed)
+    classes = maxent.numbered(np.concatenate((rng.integers(0, k, maxent.ENDINGS), [k, k])))
+    outer = rng.normal(size=(maxent.offsets(hashes)[-1], k + 1)).astype(np.float32)
+    inner = rng.normal(size=(maxent._INNER[-1], maxent.ENDINGS + 1)).astype(np.float32)
+    return maxent.Model(classes, hashes, maxent.Weights(outer, inner), np.zeros(maxent.ENDINGS + 2), np.zeros(1, np.uint64), np.zeros(1))
+
+
+def toy_stream():
+    column = pa.array(["one two three two one", "", "alpha", "two one two, three! four five", None])
+    (part,) = W.slices(column)
+    return maxent.stream(part)
+
+
+def brute_ending(m, f, g, i):
+    """{ending: probability} of token i by definition."""
+    z = [sum(float(m.weights.outer[row[i], c]) for row in f) for c in range(m.weights.outer.shape[1])]
+    total = sum(map(math.exp, z))
+    out = {}
+    for c in range(len(z)):
+        members = [b for b in range(maxent.ENDINGS + 1) if m.classes.of[b] == c]
+        y = {b: math.exp(sum(float(m.weights.inner[row[i], m.classes.place[b]]) for row in g)) for b in members}
+        out |= {b: math.exp(z[c]) / total * v / sum(y.values()) for b, v in y.items()}
+    return out
+
+
+def test_language_model_factors_equal_brute_force():
+    m, s = toy_model(), toy_stream()
+    f, g = maxent.features(s, m.hashes)
+    logs = maxent.history_logs(m, s)
+    for i, b in enumerate(s.buckets):
+        p = brute_ending(m, f, g, i)
+        assert len(p) == maxent.ENDINGS + 1 and abs(sum(p.values()) - 1) < 1e-9
+        assert abs(logs[i] - math.log10(p[int(b)])) < 1e-4
+
+
+def test_language_model_gradient_equals_brute_force():
+    m, s = toy_model(), toy_stream()
+    f, g = maxent.features(s, m.hashes)
+    outer, inner = np.zeros(m.weights.outer.shape), np.zeros(m.weights.inner.shape)
+    for i, b in enumerate(s.buckets.tolist()):
+        p = brute_ending(m, f, g, i)
+        c = m.classes.of[b]
+        own = sum(v for e, v in p.items() if m.classes.of[e] == c)
+        for e, v in p.items():
+            for row in f:
+                outer[row[i], m.classes.of[e]] -= v
+            if m.classes.of[e] == c:
+                for row in g:
+                    inner[row[i], m.classes.place[e]] -= v / own
+        for row in f:
+            outer[row[i], c] += 1
+        for row in g:
+            inner[row[i], m.classes.place[b]] += 1
+    found = maxent.gradients(m.weights, f, g, m.classes, s.buckets, m.hashes)
+    assert np.allclose(found[0], outer, atol=1e-4) and np.allclose(found[1], inner, atol=1e-4)
+
+
+def test_language_model_untrained_score_equals_brute_force(spark):
+    """Without rounds a token's probability is its ending's share times its own share of the ending."""
+    docs = [(i, t) for i, t in lm_docs() if i is not None and i < 703]
+    found = {r.doc_id: r for r in maxent.score(spark.createDataFrame([d for d in docs if d[0] != 701], "doc_id long, text string"), rounds=0).collect()}
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+
+    def ending(w):
+        if w is None:
+            return maxent.ENDINGS
+        return int(maxent.endings(W.split(np.frombuffer(w, np.uint8), np.array([0, len(w)])))[0])
+
+    c = Counter(x for i, t in docs if i != 701 and zlib.crc32(str(i).encode()) % 7 != 2 for x in tokens(t))
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        n[ending(w)] += k
+        v[ending(w)] += 1
+    every = sum(n[b] + 0.5 for b in range(maxent.ENDINGS + 1))
+    for i, t in docs[::20]:
+        expected = sum(math.log10((n[ending(w)] + 0.5) / every * (c[w] + 1) / (n[ending(w)] + v[ending(w)] + 1)) for w in tokens(t))
+        assert abs(found[i].score - expected) < 1e-3 * max(1, abs(expected))
+
+
+def test_language_model_learns_with_each_round(spark):
+    frame = spark.createDataFrame(lm_docs(), "doc_id long, text string")
+    scores = [frame.sparkSession.createDataFrame(maxent.score(frame, rounds=n).where("held_out and doc_id < 700").collect()).agg(F.sum("score")).first()[0] for n in (0, 1, 2)]
+    assert scores[0] < scores[1] < scores[2]
 
 
 # ----------------------------------------------------------------- pipeline
