@@ -12,8 +12,11 @@ How groups stay bounded:
 * round 1 compares each class with one other class only, the smallest id
   among its bands, and contracts what is confirmed;
 * round 2 compares, within each band bucket that still holds several
-  components, the members outside the largest component with the members of
-  other components, so a bucket of m members of which all but s are already
+  components, the members outside the largest component with one member of
+  that component, another one in each bucket, and contracts again: a member
+  of a group of near copies meets many of the others so;
+* round 3 compares, within the buckets that are mixed even then, the members
+  outside the largest component with all members of other components, so a bucket of m members of which all but s are already
   linked costs s * m comparisons instead of m * m; a bound from 1024 shingle
   parities, exact in that it never exceeds the true difference of two sets,
   settles most of them before any set is fetched;
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import connected_components
-from .shared import modest_batches, release, small, stage
+from .shared import BROADCAST_ROWS, modest_batches, release, small, stage
 
 BANDS, ROWS = 32, 5
 #: 64-bit words of shingle parities kept for the bound in ``_can_link``.
@@ -238,6 +241,16 @@ def _can_overlap(a: str, b: str, percent: int) -> Column:
     return F.coalesce((100 + percent) * rest >= percent * (n + m), F.lit(True))
 
 
+def _with_major(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs(u, v) of each member outside its bucket's largest component with one member of it, where sizes and parities allow a link."""
+    one = F.min_by(F.struct("node", "n", *_PARITY), F.xxhash64("node", "key"))
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("c"), one.alias("one"))
+    major = per.groupBy("key").agg(F.max_by(F.struct("component", "one"), "c").alias("x")).select("key", "x.component", "x.one.*")
+    a, b = rows.alias("a"), small(stage(major, "major"), BROADCAST_ROWS // 10).alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _can_link("a", "b", percent))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
 def _prefix_rows(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows keyed by the shingles of which any two sets at ``percent`` share one.
 
@@ -286,12 +299,16 @@ def near_duplicates(
     members = stage(bucketed.join(mixed, "key"), "mixed")
     sets = _sets_of(stage(members.select("node").distinct(), "nodes"), texts, size)
     members = stage(_sketched(members, sets).withColumn("pos", F.lit(None).cast("int")), "sketched")
+    tried = stage(_with_major(members, percent).join(first, ["u", "v"], "left_anti"), "tried")
+    links = stage(links.unionByName(_verified(tried, sets, percent)), "links")
+    found = stage(connected_components(links), "components")
+    members = stage(members.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
     pairs, hot = _across(members, percent, bucket_pairs)
     hot = stage(hot, "hot")
     if not hot.isEmpty():
         more, _ = _across(stage(_prefix_rows(hot, sets, percent), "prefixes"), percent, None)
         pairs = pairs.unionByName(more)
-    second = stage(pairs.distinct().join(first, ["u", "v"], "left_anti"), "second")
+    second = stage(pairs.distinct().join(first.unionByName(tried), ["u", "v"], "left_anti"), "second")
     links = links.unionByName(_verified(second, sets, percent))
     # classes whose smallest document is shared, and rows that repeat an id, meet here
     member = usable.join(classes.select("digest", "node"), "digest").select("doc_id", "node").distinct()
