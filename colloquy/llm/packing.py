@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .bpe import cut_bytes
-from .shared import modest_batches, release, small, stage
+from .shared import modest_batches, release, small, stage, tidy
 
 CAPACITY = 4096
 #: Children of a merge, as a number of bits.
@@ -363,6 +363,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         final = step.where("into is not null").select("bin", "into", "shift")
         moved = final if moved is None else moved.unionByName(final)
         items = step.where("into is null").select("bin", "child", "length", "rank")
+    tidy(docs.sparkSession)
     placed = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "bin", "at")
     if moved is not None:
         placed = placed.join(small(moved), "bin", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.storage import BROADCAST_ROWS, shared_root, small, stage
 
-__all__ = ["BROADCAST_ROWS", "fresh", "modest_batches", "release", "shared_root", "small", "stage"]
+__all__ = ["BROADCAST_ROWS", "fresh", "modest_batches", "release", "shared_root", "small", "stage", "tidy"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -39,3 +39,9 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let finished steps go: Spark drops their shuffle files and broadcasts once the driver's references are collected, and the driver gets smaller."""
+    release()
+    spark.sparkContext._jvm.System.gc()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import modest_batches, release, stage
+from .shared import modest_batches, release, stage, tidy
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -497,6 +497,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     rows = _sampled(docs, labels, id_col, text_col, max_docs, max_pair_docs)
     sample = sample_counts(rows)
+    tidy(docs.sparkSession)
     if not all(n.sum() for n in sample.gram_counts):
         return None, None
     features = []
@@ -506,7 +507,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     features = pa.concat_tables(features)
     x = _prepared(np.array(features["x"].to_pylist()))
     weights = fit_logistic(x, (features["toxic"].to_numpy() > 0).astype(float))
-    return train(sample, (0, 1)), weights
+    model = train(sample, (0, 1))
+    del sample, features, x
+    tidy(docs.sparkSession)
+    return model, weights
 
 
 def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", column: str = "__toxicity") -> DataFrame:
