@@ -505,8 +505,22 @@ def test_language_model_gradient_equals_brute_force():
             outer[row[i], c] += 1
         for row in g:
             inner[row[i], m.classes.place[b]] += 1
-    found = maxent.gradients(m.weights, f, g, m.classes, s.buckets, m.hashes)
-    assert np.allclose(found[0], outer, atol=1e-4) and np.allclose(found[1], inner, atol=1e-4)
+    sums = maxent.Weights(*(np.zeros(w.shape[::-1]) for w in m.weights))
+    maxent.add_gradients(m.weights, f, g, m.classes, s.buckets, m.hashes, sums)
+    assert np.allclose(sums.outer.T, outer, atol=1e-4) and np.allclose(sums.inner.T, inner, atol=1e-4)
+    w, squares = m.weights.outer.copy(), np.ones(m.weights.outer.shape, np.float32)
+    maxent.step(w, sums.outer, squares)
+    assert np.allclose(w, m.weights.outer + maxent.RATE * outer / np.sqrt(1 + outer**2 + maxent.DAMPING), atol=1e-4) and not sums.outer.any()
+
+
+def test_language_model_weights_are_averaged_by_feature(spark):
+    m = toy_model()
+    k = m.weights.outer.shape[1]
+    rows = [(0, 3, 2, [2.0 * 2] * k), (0, 3, 6, [4.0 * 6] * k), (0, 5, 1, [7.0] * k), (1, 3, 4, [1.0 * 4] * (maxent.ENDINGS + 1))]
+    out = maxent.mixed(spark.createDataFrame(rows * 3, "kind int, feature long, seen long, values array<float>").repartition(5), m.weights)
+    expected = [m.weights.outer.copy(), m.weights.inner.copy()]
+    expected[0][3], expected[0][5], expected[1][3] = 3.5, 7.0, 1.0
+    assert all(np.allclose(a, b) for a, b in zip(out, expected, strict=True))
 
 
 def test_language_model_untrained_score_equals_brute_force(spark):
