@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import fresh, stage
 
 RATIO = 0.1
 LEAST_PAGES = 5
@@ -67,25 +67,24 @@ def drop_boilerplate(
 
     One row for each input row; other columns as they are. A null text stays
     null with zero lines; an empty text is one blank line and stays. Pages
-    with a null host form one host. A page all of whose lines are
+    with a null host form one host. Input columns named ``__lines`` or
+    ``__dropped`` are replaced. A page all of whose lines are
     boilerplate becomes empty (or keeps its blank lines). ``id_col`` only
     deals pages to salts; it may be null or repeat.
     """
     found = stage(boilerplate(docs, host, text_col, ratio, least_pages, copies_once).select("host", "line"), "boilerplate")
-    per_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop"))
-    pages = docs.withColumn("__host", _host(host))
+    columns = [c for c in docs.columns if c.lower() not in ("__lines", "__dropped")]
+    at, drop, split, kept, salt = (fresh(docs, f"__{c}") for c in ("host", "drop", "split", "kept", "salt"))
+    per_host = found.groupBy(F.col("host").alias(at)).agg(F.collect_list("line").alias(drop))
+    pages = docs.withColumn(at, _host(host)).select(*columns, at)
     if found.count() <= BROADCAST_LINES:
-        joined = pages.join(F.broadcast(per_host), "__host", "left")
+        joined = pages.join(F.broadcast(per_host), at, "left")
     else:
-        salted = per_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = pages.withColumn("__salt", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left").drop("__salt")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter("__split", lambda line: ~(_filled(line) & F.array_contains("__drop", _key(line))))
-    out = joined.withColumn("__split", lines).withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__split")).otherwise(kept))
-    return (
-        out.withColumn("__lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__split")).cast("long"))
-        .withColumn("__dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__split") - F.size("__kept")).cast("long"))
-        .withColumn(text_col, F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.array_join("__kept", "\n")))
-        .drop("__host", "__drop", "__split", "__kept")
-        .select(*docs.columns, "__lines", "__dropped")
-    )
+        salted = per_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pages.withColumn(salt, F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int")).join(salted, [at, salt], "left").drop(salt)
+    text = F.col(text_col)
+    stays = F.filter(split, lambda line: ~(_filled(line) & F.array_contains(drop, _key(line))))
+    out = joined.withColumn(split, F.split(text, "\n")).withColumn(kept, F.when(F.col(drop).isNull(), F.col(split)).otherwise(stays))
+    count = lambda n: F.when(text.isNull(), 0).otherwise(n).cast("long")
+    out = out.withColumns({"__lines": count(F.size(split)), "__dropped": count(F.size(split) - F.size(kept)), text_col: F.when(text.isNotNull(), F.array_join(kept, "\n"))})
+    return out.select(*columns, "__lines", "__dropped")

@@ -133,3 +133,12 @@ def test_line_dedup_runs_no_python(spark):
     frame = spark.createDataFrame([(1, "a", "x\ny")], "doc_id long, source string, text string")
     plan = linededup.drop_boilerplate(frame, F.col("source"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    rows = [(i, "h", f"menu\npage {i}", "a", "b", 1) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, __host string, __drop string, __lines int")
+    out = linededup.drop_boilerplate(frame, F.col("source"))
+    assert out.columns == ["doc_id", "source", "text", "__host", "__drop", "__lines", "__dropped"]
+    found = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert found == {i: ("h", f"page {i}", "a", "b", 2, 1) for i in range(20)}
