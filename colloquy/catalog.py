@@ -22,7 +22,7 @@ from .operators.normalize import normalize
 from .operators.scrub import scrub
 from .operators.threads import files, render, thread_groups
 from .plans.pipeline import Pipeline
-from .schema import MESSAGE, MESSAGE_COLUMNS, Role
+from .schema import MESSAGE, MESSAGE_COLUMNS
 from .sinks import json_lines
 from .sources import chatgpt
 from .storage import shared_root
@@ -38,8 +38,8 @@ SECRETS = (
     " sk-" + "a1B2" * 12,
     " sk-ant-api03-" + "x_Y-" * 10,
     " 192.168.1.42 and 172.20.0.9 but 110.1.2.3",
-    " /home/lou/secret.txt",
-    " lou@example.com twice lou@example.com",
+    " /home/ada/secret.txt",
+    " ada@example.com twice ada@example.com",
 )
 
 
@@ -232,7 +232,7 @@ def chatgpt_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, role FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'critic' ELSE role END AS role FROM conversations) WHERE role IN ('user', 'assistant', 'system', 'tool')")
 def role_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("turn") % 5 == 4, F.lit("critic")).otherwise(F.col("role"))
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role")).where(F.col("role").isin([r.value for r in Role]))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role")).where(chatgpt.known_role(F.col("role")))
 
 
 @query(r"SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN chr(10) || chr(9) || '  ' WHEN 1 THEN '' ELSE text END AS t FROM documents) WHERE regexp_matches(t, '\S')")
@@ -256,9 +256,9 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).cast("string").alias("content_hash"))
 
 
-@query(f"SELECT doc_id, {_SLUG.format('substr(text, 1, 90)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {_SLUG.format('text')} AS slug FROM documents")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", X.slugify(F.substring("text", 1, 90)).alias("slug"))
+    return _table(spark, sf_dir, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 _NATURAL = f"WITH m AS (SELECT doc_id, {_spliced_sql()} AS content FROM documents), {_KINDS}"
@@ -355,13 +355,18 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_exact(d.withColumn("content_hash", X.content_hash(F.col("content")))).select("seq", "hits")
 
 
-@query(f"WITH RECURSIVE {_FIRST_DOCS},\n{_fuzzy_sql('firsts')} SELECT i, j, round(similarity, 4) AS similarity FROM edges WHERE similarity < 1.0")
+_SETS = f"""{_DOCS}, toks AS (SELECT seq, list_sort({_TOKENS.format('content')}) AS t FROM docs), named AS (SELECT seq, t, min(seq) OVER (PARTITION BY t) AS first FROM toks WHERE len(t) > 0),
+firsts AS (SELECT seq, t, len(t) AS n FROM named WHERE seq = first), each AS (SELECT seq, unnest(t) AS tok FROM firsts),
+shared AS (SELECT a.seq AS i, b.seq AS j, count(*) AS o FROM each a JOIN each b ON a.tok = b.tok AND a.seq < b.seq GROUP BY 1, 2),
+pairs AS (SELECT i, j, CAST(o AS DOUBLE) / (x.n + y.n - o) AS similarity FROM shared JOIN firsts x ON x.seq = i JOIN firsts y ON y.seq = j)"""
+
+
+@query(f"WITH {_SETS} SELECT i, j, round(similarity, 4) AS similarity FROM pairs WHERE similarity > {THRESHOLD} UNION ALL SELECT first, seq, 1.0 FROM named WHERE seq <> first")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dedup.exact_groups(_documents(spark, sf_dir), F.col("content"))
-    rows = d.select(F.col("first").alias("seq"), X.tokens(F.col("key")).alias("toks"))
-    sets = rows.where(F.size("toks") > 0)
-    found = dedup.similar_pairs(sets, THRESHOLD)
-    return found.where(F.col("similarity") < 1.0).select("i", "j", F.round("similarity", 4).alias("similarity"))
+    """Pairs of first rows of different token sets, and (first row, row) with 1.0 for every other row of a set."""
+    sets, copies = dedup.token_sets(_documents(spark, sf_dir))
+    found = dedup.similar_pairs(sets, THRESHOLD).select("i", "j", F.round("similarity", 4).alias("similarity"))
+    return found.unionByName(copies.where("n > 0").select(F.col("first").alias("i"), F.col("seq").alias("j"), F.lit(1.0).alias("similarity")))
 
 
 @query(f"WITH RECURSIVE all_docs AS (SELECT doc_id AS seq, text AS content, 1 AS hits FROM documents),\n{_fuzzy_sql('all_docs')} SELECT seq, hits FROM merged")

@@ -7,8 +7,8 @@ the lexicographically first maximal independent set of the resemblance graph:
 
 1. rows with equal token sets fold into their first row, whatever the graph;
 2. edges come from an equi-join on the rarest tokens that any two sufficiently
-   similar sets must share (prefix filtering), then length filter and exact
-   resemblance;
+   similar sets must share (prefix filtering), then length and position
+   filters and exact resemblance;
 3. rounds: a row none of whose earlier neighbours is undecided or kept is
    kept, a row with a kept earlier neighbour folds, until no edge is left;
 4. a folded row counts for the smallest kept earlier neighbour.
@@ -50,14 +50,15 @@ def dedup_exact(df: DataFrame, key: str = "content_hash", seq: str = "seq") -> D
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, seq, n): of n tokens the n - ceil(threshold * n) + 1 rarest."""
+    """(token, seq, n, place): of n tokens, ordered by rarity, the first n - ceil(threshold * n) + 1."""
     each = sets.select("seq", F.explode("toks").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
     # tokens of one row alone can join nothing, but they fill its prefix
     ordered = each.join(rarity, "token").groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     n = F.size("s")
     length = F.least(n, n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)
-    return ordered.select("seq", n.alias("n"), F.explode(F.filter(F.slice("s", 1, length), lambda x: x["df"] > 1)).alias("x")).select(F.col("x.token").alias("token"), "seq", "n")
+    placed = F.transform(F.slice("s", 1, length), lambda x, i: F.struct(x["token"].alias("token"), x["df"].alias("df"), i.alias("place")))
+    return ordered.select("seq", n.alias("n"), F.explode(F.filter(placed, lambda x: x["df"] > 1)).alias("x")).select("x.token", "seq", "n", "x.place")
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -69,7 +70,10 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     prefix = stage(_prefixes(sets, threshold), "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     long_enough = (F.col("a.n") >= threshold * F.col("b.n") - 1e-9) & (F.col("b.n") >= threshold * F.col("a.n") - 1e-9)
-    candidates = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.seq") < F.col("b.seq")) & long_enough).select(F.col("a.seq").alias("i"), F.col("b.seq").alias("j")).distinct()
+    # nothing is shared before the first token that two sets share, so one more than the shorter rest bounds the overlap
+    rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    enough = rest * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9
+    candidates = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.seq") < F.col("b.seq")) & long_enough & enough).select(F.col("a.seq").alias("i"), F.col("b.seq").alias("j")).distinct()
     left, right = sets.select(F.col("seq").alias("i"), F.col("toks").alias("x")), sets.select(F.col("seq").alias("j"), F.col("toks").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     similarity = both.cast("double") / (F.size("x") + F.size("y") - both).cast("double")
@@ -93,6 +97,16 @@ def resolve(edges: DataFrame) -> DataFrame:
     return kept.groupBy("j").agg(F.min("i").alias("keeper")).select(F.col("j").alias("seq"), "keeper")
 
 
+def token_sets(df: DataFrame, content: str = "content", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(sets(seq, toks), copies(seq, first, n)): the first row of each set of tokens that is not empty, and the other rows of a set (an empty one too)."""
+    rows = stage(df.select(F.col(seq).alias("seq"), F.transform(F.array_sort(tokens(F.coalesce(F.col(content), F.lit("")))), lambda t: F.xxhash64(t)).alias("toks")), "tokens")
+    key = (F.xxhash64("toks").alias("a"), F.xxhash64(F.lit("set"), "toks").alias("b"), F.size("toks").alias("n"))
+    same = stage(rows.groupBy(*key).agg(F.min("seq").alias("first"), F.count("*").alias("c")), "token-sets")
+    sets = stage(rows.join(same.select(F.col("first").alias("seq")), "seq", "left_semi").where(F.size("toks") > 0), "sets")
+    copies = rows.select("seq", *key).join(same.where("c > 1"), ["a", "b", "n"]).where("seq <> first").select("seq", "first", "n")
+    return sets, copies
+
+
 def fuzzy_folds(df: DataFrame, threshold: float, content: str = "content", seq: str = "seq") -> DataFrame:
     """(seq, keeper) of the rows that fold in the near-duplicate pass.
 
@@ -105,13 +119,9 @@ def fuzzy_folds(df: DataFrame, threshold: float, content: str = "content", seq:
     if threshold < 0.0:
         low = df.agg(F.min(seq).alias("keeper"))
         return df.select(F.col(seq).alias("seq")).join(F.broadcast(low), F.col("seq") > F.col("keeper"))
-    rows = stage(df.select(F.col(seq).alias("seq"), F.transform(F.array_sort(tokens(F.coalesce(F.col(content), F.lit("")))), lambda t: F.xxhash64(t)).alias("toks")), "tokens")
-    same = stage(rows.groupBy(F.xxhash64("toks").alias("a"), F.xxhash64(F.lit("set"), "toks").alias("b"), F.size("toks").alias("n")).agg(F.min("seq").alias("first"), F.count("*").alias("c")), "token-sets")
-    sets = stage(rows.join(same.select(F.col("first").alias("seq")), "seq", "left_semi").where(F.size("toks") > 0), "sets")
+    sets, copies = token_sets(df, content, seq)
     folded = stage(resolve(similar_pairs(sets, threshold)), "folds")
     # copies of a folded first row fold where it does
-    named = rows.select("seq", F.xxhash64("toks").alias("a"), F.xxhash64(F.lit("set"), "toks").alias("b"), F.size("toks").alias("n"))
-    copies = named.join(same.where("c > 1"), ["a", "b", "n"]).where("seq <> first").select("seq", "first")
     moved = copies.join(folded.withColumnsRenamed({"seq": "first"}), "first", "left").select("seq", F.coalesce("keeper", "first").alias("keeper"))
     return folded.unionByName(moved)
 

@@ -45,6 +45,11 @@ def text_of(parts: Column) -> Column:
     return F.array_join(F.transform(strings, lambda p: p.cast("string")), "\n")
 
 
+def known_role(role: Column) -> Column:
+    """Whether a role is one of the four that are kept."""
+    return role.isin([r.value for r in Role])
+
+
 def _required(value: Column, what: str) -> Column:
     return F.when(value.isNull(), F.raise_error(F.lit(f"export: {what} is missing"))).otherwise(value)
 
@@ -80,7 +85,7 @@ def messages(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").alias("thread_id"),
         F.col("title").alias("thread_title"),
     )
-    rows = rows.where(F.col("role").isin([r.value for r in Role])).where(~blank(F.col("content"))).where(F.col("created_at").isNotNull())
+    rows = rows.where(known_role(F.col("role"))).where(~blank(F.col("content"))).where(F.col("created_at").isNotNull())
     return rows.withColumns(
         {
             "source": F.lit(AdapterKind.CHATGPT.value),
