@@ -75,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Learned scores and tokenisation have no SQL; tests compare with a brute-force pipeline.
+#: Learned scores and tokenisation have no SQL; tests compare the stages one by one with ``run`` and the operators with brute force.
 ORACLE_SQL = None
 
 
