@@ -15,12 +15,13 @@ the share of common phrases.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import release
@@ -158,29 +159,99 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _deal(bounds: list[int], has_null: bool):
-    """Rows with the bucket of their id; a bucket's first documents go to the bucket before as well."""
-    inner = np.array(bounds[1:], np.int64)
-    last = len(inner)
+#: A place in the order of documents: whether the id is not null, the id, the hash of the text.
+Place = tuple[bool, int, int]
+LEAST_TIE = -1
+#: Quantiles are exact up to here; beyond, they may fall between the values.
+EXACT = 2**53
+
+
+def _tie(text_col: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(text_col), 11)
+
+
+def _existing(source: DataFrame, cuts: list[int]) -> list[int]:
+    """For each cut the smallest id that is not below it, if there is one."""
+    edges = np.array(sorted(set(cuts)), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.sort(np.asarray(batch.column("doc_id").drop_null(), np.int64))
+            part, at = np.unique(np.searchsorted(edges, ids, "right"), return_index=True)
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(ids[at])], ["part", "least"])
+
+    least = source.select("doc_id").mapInArrow(run, "part int, least long").groupBy("part").agg(F.min("least").alias("least")).orderBy("part").collect()
+    parts = [r["part"] for r in least]
+    at = [bisect_left(parts, int(np.searchsorted(edges, c)) + 1) for c in cuts]
+    return [least[k]["least"] for k in at if k < len(least)]
+
+
+def _bounds(source: DataFrame, n: int) -> list[Place]:
+    """Where each of about ``n`` ranges of documents starts, in order.
+
+    The starts are ids of quantiles. An id that several quantiles fall on, and
+    null where nulls fill several ranges, is cut again at the quantiles of its
+    hashes, so no id needs to fit into one range. Even a start may occur
+    several times: that many ranges share the rows which are alike in id and text.
+    """
+    accuracy = max(10_000, 20 * n)
+    row = source.agg(
+        F.min("doc_id").alias("low"),
+        F.max("doc_id").alias("high"),
+        F.count("*").alias("rows"),
+        F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+        F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], accuracy).alias("cuts"),
+    ).first()
+    cuts = (row["cuts"] or []) if n > 1 else []
+    if cuts and max(-row["low"], row["high"]) > EXACT:
+        cuts = _existing(source, cuts)
+    parts: dict[int | None, int] = {}
+    if row["nulls"]:
+        parts[None] = max(1, round(n * row["nulls"] / row["rows"]))
+    if row["low"] is not None:
+        parts[row["low"]] = 1
+    for cut in cuts:
+        parts[cut] = parts.get(cut, 0) + 1
+    hot = [i for i, m in parts.items() if m > 1]
+    ties: dict[int | None, list[int]] = {}
+    if hot:
+        most = max(parts[i] for i in hot)
+        among = F.col("doc_id").isin([i for i in hot if i is not None])
+        among = among | F.col("doc_id").isNull() if None in hot else among
+        found = source.where(among).groupBy("doc_id").agg(F.min("tie").alias("least"), F.percentile_approx("tie", [k / most for k in range(1, most)], accuracy).alias("ties"))
+        ties = {r["doc_id"]: [r["least"], *(r["ties"][k * most // parts[r["doc_id"]] - 1] for k in range(1, parts[r["doc_id"]]))] for r in found.collect()}
+    return sorted((i is not None, i or 0, tie) for i in parts for tie in ties.get(i, [LEAST_TIE])) or [(False, 0, LEAST_TIE)]
+
+
+def _deal(bounds: list[Place]):
+    """Rows with the range of their place; a range's first document goes to the range before as well."""
+    first = [bisect_left(bounds, b) for b in bounds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids = batch.column("doc_id")
-            null = np.asarray(ids.is_null())
-            value = np.asarray(ids.fill_null(0), np.int64)
-            bucket = np.where(null, 0, np.searchsorted(inner, value, "right"))
-            heads = np.flatnonzero(np.isin(value, inner) & ~null)
-            wrap = np.flatnonzero(null) if has_null else np.flatnonzero(value == bounds[0])
-            rows = np.concatenate((np.arange(len(batch)), heads, wrap))
+            ids, ties = batch.column("doc_id"), batch.column("tie")
+            bucket, heads, shared = [], {}, {}
+            for at, (i, tie) in enumerate(zip(ids.to_pylist(), ties.to_pylist(), strict=True)):
+                place = (i is not None, i or 0, tie)
+                last = bisect_right(bounds, place) - 1
+                bound = bounds[last]
+                if bound[:2] == place[:2] and (last not in heads or tie < heads[last][0]):
+                    heads[last] = (tie, at)
+                if bound == place and first[last] < last:  # alike rows: the last range has one at least
+                    turn = shared[last] = shared.get(last, -1) + 1
+                    last -= turn % (last - first[last] + 1)
+                bucket.append(last)
+            tails = [((b - 1) % len(bounds), at) for last, (_, at) in heads.items() for b in range(first[last], last + 1)]
+            rows = pa.array([*range(len(batch)), *(at for _, at in tails)], pa.int64())
             text = pa.array([pack.compress(x.as_buffer()) if x.is_valid else pack.compress(b"") for x in batch.column("text")], pa.binary())
             yield pa.record_batch(
                 [
-                    pa.array(np.concatenate((bucket, bucket[heads] - 1, np.full(len(wrap), last))), pa.int32()),
-                    pa.array(np.concatenate((np.zeros(len(batch), np.int32), np.ones(len(heads) + len(wrap), np.int32)))),
-                    ids.take(pa.array(rows)),
-                    batch.column("tie").take(pa.array(rows)),
-                    text.take(pa.array(rows)),
+                    pa.array(bucket + [b for b, _ in tails], pa.int32()),
+                    pa.array([0] * len(batch) + [1] * len(tails), pa.int32()),
+                    ids.take(rows),
+                    ties.take(rows),
+                    text.take(rows),
                 ],
                 ["bucket", "tail", "doc_id", "tie", "text"],
             )
@@ -237,18 +308,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first. Null texts count as empty; an empty text resembles only another.
     Other columns are ignored; an empty table gives an empty result.
 
-    The ids are cut at quantiles that are ids themselves, so each range is
-    dealt to one task of its own with the first document of the range after it, and
-    every text travels once, compressed.
+    The order is cut at quantiles, within one id too where it holds many rows,
+    so each range is dealt to one task of its own with the first document of
+    the range after it, and every text travels once, compressed.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = buckets or source.rdd.getNumPartitions()
-    row = source.agg(
-        F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], max(10_000, 20 * n)).alias("cuts")
-    ).first()
-    low = row["low"] if row["low"] is not None else 0
-    bounds = [low, *sorted({x for x in row["cuts"] or [] if x > low})] if n > 1 else [low]
-    dealt = source.withColumn("tie", F.xxhash64("text")).mapInArrow(_deal(bounds, row["nulls"] > 0), "bucket int, tail int, doc_id long, tie long, text binary")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), _tie(text_col).alias("tie"), F.col(text_col).alias("text"))
+    bounds = _bounds(source, buckets or source.rdd.getNumPartitions())
+    dealt = source.mapInArrow(_deal(bounds), "bucket int, tail int, doc_id long, tie long, text binary")
     near = dealt.repartitionById(len(bounds), F.col("bucket")).sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "tie")
     return near.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from colloquy.llm import bpe, fingerprint, packing, tokencounts
@@ -267,3 +269,21 @@ def test_fingerprint_edge_tables(spark):
     odd = spark.createDataFrame([(None, "null id"), (2, "x"), (2, "x"), (2, "yy"), (None, None)], schema)
     assert len(fingerprint.fingerprint_edits(odd, buckets=3).collect()) == 5
     assert len(fingerprint.fingerprint(odd).collect()) == 5
+
+
+@pytest.mark.parametrize("hot, far", [(None, 0), (7, 0), (None, 2**62)])
+def test_fingerprints_of_a_hot_id(spark, hot, far):
+    """Many rows of one id, a part of them alike, are dealt to many ranges and still follow one another."""
+    rng = random.Random(5)
+    rows = [(hot, f"row {k} {rng.random()}") for k in range(300)] + [(hot, "the same text again")] * 400 + [(hot, None)] * 20 + [(far + k * ((far >> 20) or 1) + k, f"document {k} {rng.random()}") for k in range(-20, 280) if k != 7]
+    schema = "doc_id long, text string"
+    frame = spark.createDataFrame(rows, schema).repartition(6)
+    source = frame.select("doc_id", fingerprint._tie("text").alias("tie"), "text")
+    bounds = fingerprint._bounds(source, 40)
+    assert bounds == sorted(bounds) and len(bounds) > len(set(bounds)) > 20
+    dealt = source.mapInArrow(fingerprint._deal(bounds), "bucket int, tail int, doc_id long, tie long, text binary")
+    assert dealt.where("tail = 0").groupBy("bucket").count().agg(F.max("count")).first()[0] < 60
+    found = fingerprint.fingerprint_edits(frame, buckets=40).collect()
+    order = [(r.doc_id, r.text or "") for r in source.orderBy(F.col("doc_id").asc_nulls_first(), "tie").collect()]
+    wanted = sorted((str(i), hashlib.sha256(fingerprint.edit(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in found) == wanted
