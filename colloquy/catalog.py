@@ -23,8 +23,9 @@ from .operators.scrub import scrub
 from .operators.threads import files, render, thread_groups
 from .plans.pipeline import Pipeline
 from .schema import MESSAGE, MESSAGE_COLUMNS
-from .sinks import json_lines
+from .sinks import json_lines, write_jsonl
 from .sources import chatgpt
+from .sources.jsonl import read_jsonl
 from .storage import shared_root
 
 NOW = datetime(2023, 11, 14, 22, 13, 20, tzinfo=timezone.utc)
@@ -229,6 +230,13 @@ def chatgpt_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "role", F.md5("content").alias("content_md5"), F.unix_timestamp("created_at").alias("created"), "thread_id", "thread_title", "project_hint", F.col("content_hash").cast("string").alias("content_hash"), (F.col("seq") % 2**24).alias("place"))
 
 
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN '' ELSE CASE turn % 4 WHEN 0 THEN 'a' || chr(10) ELSE '' END || text || chr(10) END AS parts_text FROM conversations")
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.get_json_object(F.to_json(F.struct(F.array("text").alias("p"))), "$.p").substr(F.lit(2), F.lit(2**31 - 1))
+    parts = F.when(F.col("turn") % 4 == 3, F.lit('[3, {"text": "no"}, null]')).otherwise(F.concat(F.when(F.col("turn") % 4 == 0, F.lit('["a", false, ')).otherwise(F.lit('[["no"], ')), F.regexp_replace(text, r"\]$", ""), F.lit(', 1.5, ""]')))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", chatgpt.text_of(F.from_json(parts, "array<variant>")).alias("parts_text"))
+
+
 @query("SELECT conv_id, turn, role FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'critic' ELSE role END AS role FROM conversations) WHERE role IN ('user', 'assistant', 'system', 'tool')")
 def role_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("turn") % 5 == 4, F.lit("critic")).otherwise(F.col("role"))
@@ -433,6 +441,13 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", "role", F.md5("content").alias("content_md5"), F.unix_timestamp("created_at").alias("created"), "thread_id", "thread_title", "project_hint", F.col("content_hash").cast("string").alias("content_hash"), "rank")
 
 
+@query(f"WITH {_MESSAGES} SELECT id, role, md5(content) AS content_md5, epoch_us(created_at) // 1000000 AS created, thread_id, thread_title, project_hint, content_hash FROM m")
+def jsonl_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_jsonl(f"{shared_root(spark)}/memory-{uuid.uuid4().hex[:12]}.jsonl", _ranked(spark, sf_dir))
+    back = read_jsonl(spark, path)
+    return back.select("id", "role", F.md5("content").alias("content_md5"), F.unix_timestamp("created_at").alias("created"), "thread_id", "thread_title", "project_hint", F.col("content_hash").cast("string").alias("content_hash"))
+
+
 # ------------------------------------------------------------- whole pipeline
 
 

@@ -13,7 +13,7 @@ from .plans.pipeline import Pipeline
 from .schema import AdapterKind, OutputFormat
 from .sinks import write_all
 from .sources import pick_adapter
-from .sources.base import read_header
+from .sources.base import read_header, survey
 
 
 def _format(text: str) -> OutputFormat:
@@ -45,7 +45,7 @@ def _moment(text: str) -> datetime:
 def parser() -> argparse.ArgumentParser:
     defaults = PipelineConfig.with_safe_defaults()
     p = argparse.ArgumentParser("colloquy", description="Compiles a chat export into a compact, clean message set.")
-    p.add_argument("-i", "--input", required=True, help="export file")
+    p.add_argument("-i", "--input", required=True, help="export file, or a folder of them")
     p.add_argument("-o", "--output", required=True, help="output folder")
     p.add_argument("-f", "--format", type=_format, default=OutputFormat.JSONL, help="jsonl, markdown or both")
     p.add_argument("--adapter", type=_adapter, help="chatgpt, claude_web, gemini or claude_code; found from the file if not given")
@@ -92,11 +92,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 def _compile(spark, args: argparse.Namespace, config: PipelineConfig) -> int:
     path = args.input if "://" in args.input else os.path.abspath(args.input)
     root = args.output if "://" in args.output else os.path.abspath(args.output)
-    adapter = pick_adapter(args.adapter, read_header(spark, path))
+    sample, many = survey(spark, path)
+    adapter = pick_adapter(args.adapter, read_header(spark, sample))
     if adapter is None:
         raise ValueError(f"no adapter for {args.adapter.value if args.adapter else args.input}")
     _say(f"detected adapter: {adapter.kind.value}")
-    messages = adapter.read(spark, path)
+    messages = adapter.read_many(spark, path) if many else adapter.read(spark, path)
     output = Pipeline(config).run(messages, args.now or datetime.now(timezone.utc))
     stats = output.stats.first()
     _say(f"parsed {stats['total_input']} messages")

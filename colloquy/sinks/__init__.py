@@ -15,6 +15,8 @@ from ..storage import stage
 
 log = logging.getLogger(__name__)
 
+#: Bytes that the joining of parts holds at a time.
+COPY_BYTES = 1 << 20
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
 
 
@@ -30,20 +32,28 @@ def json_lines(messages: DataFrame) -> DataFrame:
 def write_jsonl(path: str, messages: DataFrame) -> str:
     """One file of JSON lines in rank order; an existing one is replaced.
 
-    The single file is the format's wish, so its rows pass through one
-    writing task; they are streamed, not gathered.
+    Ranges of ranks are turned into lines, sorted and written in parallel; the
+    driver's JVM then streams the parts, in order, into the single file that
+    the format wants.
     """
     spark = messages.sparkSession
     parts = f"{path}.parts"
-    json_lines(messages).coalesce(1).sortWithinPartitions("rank").select("value").write.mode("overwrite").text(parts)
+    json_lines(messages).repartitionByRange("rank").sortWithinPartitions("rank").select("value").write.mode("overwrite").text(parts)
     fs = _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
-    written = [s.getPath() for s in fs.listStatus(_path(spark, parts)) if s.getPath().getName().startswith("part-")]
-    target = _path(spark, path)
+    written = sorted((s.getPath() for s in fs.listStatus(_path(spark, parts)) if s.getPath().getName().startswith("part-")), key=lambda part: part.getName())
+    target, whole = _path(spark, path), _path(spark, f"{parts}/whole")
+    joined = fs.create(whole)
+    try:
+        for part in written:
+            lines = fs.open(part)
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(lines, joined, COPY_BYTES, False)
+            finally:
+                lines.close()
+    finally:
+        joined.close()
     fs.delete(target, False)
-    if written:
-        fs.rename(written[0], target)
-    else:
-        fs.create(target).close()
+    fs.rename(whole, target)
     fs.delete(_path(spark, parts), True)
     return path
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blank, content_hash, epoch_to_timestamp, slugify
+from ..operators.signals import ranked
 from ..schema import CONVERSATION_DDL, MESSAGE_COLUMNS, AdapterKind, Role
+from ..storage import stage
 from .base import Adapter
 
 #: Places in a conversation that fit below the conversation's number in ``seq``.
@@ -124,19 +126,12 @@ class ChatGptAdapter(Adapter):
     def read_many(self, spark: SparkSession, path: str) -> DataFrame:
         """A folder of export files, or large ones: an array element a row, in file order.
 
-        ``conv_idx`` is the place in the order of (file, element), counted by
-        file, so files are read in parallel.
+        ``conv_idx`` is the place in the order of (file, element), found by
+        ranges, so neither the files nor their counts meet in one task. A file
+        that holds one conversation, not in an array, counts as one element.
         """
-        from pyspark.sql import Window
-
-        from ..storage import stage
-
         schema = spark.createDataFrame([], f"conv {CONVERSATION_DDL}").schema["conv"].dataType
         rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
         placed = rows.select(F.struct(*schema.fieldNames()).alias("conv"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-        placed = stage(placed, "conversations")
-        sizes = placed.groupBy("file").agg(F.count("*").alias("n"))
-        before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        place = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
-        numbered = placed.join(F.broadcast(before), "file").select((F.col("before") + place).alias("conv_idx"), "conv")
-        return messages(numbered)
+        numbered = ranked(stage(placed, "conversations"), F.col("file"), F.col("at"), name="conv_idx")
+        return messages(numbered.select((F.col("conv_idx") - 1).alias("conv_idx"), "conv"))

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 ``stage`` cuts lineage with a written Parquet table in the session's
-``spark.checkpoint.dir``; only where that is unset does it pick a folder.
+``spark.checkpoint.dir``; where that is unset, a local session gets a temporary
+folder and any other an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="colloquy-")
             sc.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/colloquy-{app}"

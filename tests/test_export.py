@@ -191,6 +191,17 @@ def test_path_collisions_and_missing_projects(spark, tmp_path, caplog):
     assert "project_hint" not in open(written[1]).read()
 
 
+def test_lines_of_many_parts_keep_their_order(spark, export, tmp_path):
+    chain = [message(k, "user", f"words of message {k} " + chr(97 + k % 26) * 9, NOW.timestamp() - k) for k in range(300)]
+    found = ChatGptAdapter().read(spark, export([conversation("c", "t", chain)]))
+    placed = found.withColumn("rank", F.lit(300) - F.col("seq")).repartition(7)
+    path = sinks.write_jsonl(str(tmp_path / "many.jsonl"), placed)
+    assert sinks.write_jsonl(path, placed) == path  # an existing one is replaced
+    lines = [json.loads(x)["id"] for x in open(path)]
+    assert lines == [f"c:{m['id']}" for m in reversed(chain)]
+    assert [x.name for x in tmp_path.iterdir() if "many" in x.name and not x.name.startswith(".")] == ["many.jsonl"]
+
+
 def run_cli(spark, capsys, *args):
     code = cli.main(list(args), spark)
     got = capsys.readouterr()
@@ -205,6 +216,15 @@ def test_cli(spark, export, tmp_path, capsys):
     assert lines[-1] == "done: 3 files written" and len([x for x in lines if x.startswith("wrote: ")]) == 3
     code, _, err = run_cli(spark, capsys, "-i", path, "-o", str(tmp_path / "dry"), "--dry-run", "--adapter", "chatgpt", "--now", now)
     assert code == 0 and "dry run: nothing written" in err and not (tmp_path / "dry").exists()
+    folder = tmp_path / "several"
+    folder.mkdir()
+    for k, c in enumerate(SAMPLE):
+        (folder / f"{k}.json").write_text(json.dumps([c]))
+    code, _, err = run_cli(spark, capsys, "-i", str(folder), "-o", str(tmp_path / "o2"), "--now", now)
+    assert code == 0 and "parsed 7 messages" in err
+    assert (tmp_path / "o2" / "memory.jsonl").read_text() == (tmp_path / "o" / "memory.jsonl").read_text()
+    (tmp_path / "bare").mkdir()
+    assert run_cli(spark, capsys, "-i", str(tmp_path / "bare"), "-o", "y")[0] != 0
     code, out, _ = run_cli(spark, capsys, "-i", "x", "-o", "y", "--info")
     assert code == 0 and len(out.strip().splitlines()) == 5
     assert run_cli(spark, capsys, "-i", str(tmp_path / "missing"), "-o", "y")[0] != 0
