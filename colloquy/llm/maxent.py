@@ -18,15 +18,23 @@ Every training document takes part in each of the passes:
    feature's new weights are the mean of the tasks', weighted by how often
    each saw it.
 
-The hash space of a template grows with the counted vocabulary, between
-``LEAST_HASHES`` and ``MOST_HASHES``. Scoring looks frequent tokens up in a broadcast table of at most ``HEAD``
+The hash space of a template grows with the counted vocabulary. One table of
+weights has at most ``MOST_HASHES`` buckets a template; a larger hash space is
+divided into blocks of so many. The word before decides a token's block (so the
+model stays a proper one), tokens are dealt to their blocks as feature numbers,
+and one block after the other is trained and scored on all its tokens, by as
+many tasks as it needs. So neither a worker nor the driver holds more than one
+block's weights, and there is no upper bound.
+
+Scoring looks frequent tokens up in a broadcast table of at most ``HEAD``
 entries; counts of all other tokens come from a join on the tokens
 themselves, so the vocabulary may outgrow any memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,9 +44,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import modest_batches, release, stage
+from .shared import modest_batches, release, shared_root, stage, tidy
 
-#: Hash buckets of a template, about one for ``WORDS_PER_HASH`` distinct tokens; the upper bound keeps the weights of a worker below 30 MB.
+#: Hash buckets of a template in a block, about one for ``WORDS_PER_HASH`` distinct tokens; the upper bound (15 bits at most) keeps the weights of a worker below 30 MB, and more tokens make more blocks.
 LEAST_HASHES, MOST_HASHES, WORDS_PER_HASH = 1 << 12, 1 << 15, 64
 ENDINGS = 256
 CLASSES = 24
@@ -52,12 +60,31 @@ HEAD = 500_000
 #: Tokens after which a task makes a step.
 STEP_TOKENS = 250_000
 SLICE_BYTES = 1 << 20
+#: Tokens of a dealt row, and about half of the most that are trained or scored at a time.
+PIECE = 1 << 16
+#: Tokens for which a block gets one more training task: each hands in a whole table.
+TASK_TOKENS = 3_000_000
 
 END = np.uint64(0x0123456789ABCDEF)
 BEFORE = np.uint64(0xFEDCBA9876543210)
 _END_BUCKET, _BEFORE_BUCKET = ENDINGS, ENDINGS + 1
 
 
+def sized(counts: Iterable[tuple[int, int]]) -> tuple[int, int]:
+    """(hash buckets of a template in a block, blocks) for pairs (occurrences, number of distinct tokens that occur so often).
+
+    As many blocks, a power of two, as it takes for a block to have no more
+    than ``WORDS_PER_HASH`` distinct tokens for each bucket: as many as are
+    expected when each occurrence falls into any block alike.
+    """
+    n, words = np.array(list(counts), float).T
+    hashes = 1 << int(np.clip(words.sum() // WORDS_PER_HASH, LEAST_HASHES, MOST_HASHES) - 1).bit_length()
+    blocks = 1
+    while words @ (1 - (1 - 1 / blocks) ** n) > WORDS_PER_HASH * MOST_HASHES:
+        blocks *= 2
+    return hashes, blocks
+
+
 def offsets(hashes: int) -> np.ndarray:
     """Where each template's features begin, and their number: constant, word before, two before, skip one, skip two, ending before, two endings before."""
     return np.cumsum([0, 1, hashes, hashes, hashes, hashes, ENDINGS + 2, hashes])
@@ -125,14 +152,83 @@ def features(s: Stream, hashes: int) -> tuple[np.ndarray, np.ndarray]:
         pair = W.mix64(one * np.uint64(3) + two * np.uint64(0x9E3779B97F4A7C15))
         skip = W.mix64(two ^ np.uint64(0xA5A5A5A5A5A5A5A5))
         far = W.mix64(three ^ np.uint64(0x5A5A5A5A5A5A5A5A))
+    return _numbered(one % n, pair % n, skip % n, far % n, b1, b2, (one >> np.uint64(20)) % np.uint64(INNER_HASHES), hashes)
+
+
+def _numbered(one, pair, skip, far, b1, b2, word, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     ends = (b1 * 40_503 + b2 * 9_973) % hashes
     none = np.zeros(len(one), np.int64)
-    outer = [none, one % n, pair % n, skip % n, far % n, b1, ends]
-    inner = [none, b1, (one >> np.uint64(20)) % np.uint64(INNER_HASHES)]
+    outer = [none, one, pair, skip, far, b1, ends]
+    inner = [none, b1, word]
     stacked = (np.stack([c.astype(np.int64) + o for c, o in zip(cs, at, strict=False)]) for cs, at in ((outer, offsets(hashes)), (inner, _INNER)))
     return next(stacked), next(stacked)
 
 
+def _examples(batches: Iterator[pa.RecordBatch], hashes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(class features, ending features, buckets) of the texts' tokens, some at a time."""
+    for batch in batches:
+        for part in W.slices(batch.column("text"), SLICE_BYTES // 2):
+            s = stream(part)
+            yield *features(s, hashes), s.buckets
+
+
+_DEALT = "block int, teaches boolean, rows array<long>, times array<long>, examples binary"
+
+
+def _packed(f: np.ndarray, g: np.ndarray, b2: np.ndarray, own: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """98 bits a token in 8, 4 and 1 bytes: four buckets of 15 bits, three endings of 9, a word's bucket of 11."""
+    one, pair, skip, far = ((row - at).astype(np.uint64) << np.uint64(15 * k) for k, (row, at) in enumerate(zip(f[1:5], offsets(hashes)[1:5], strict=True)))
+    b1, word = g[1] - _INNER[1], g[2] - _INNER[2]
+    first = one | pair | skip | far | ((own & 15).astype(np.uint64) << np.uint64(60))
+    return first, (own >> 4 | b1 << 5 | b2 << 14 | (word & 511) << 23).astype(np.uint32), (word >> 9).astype(np.uint8)
+
+
+def _unpacked(data: pa.Buffer) -> tuple[np.ndarray, ...]:
+    """(one, pair, skip, far, ending before, the one before it, word, own ending) of dealt tokens."""
+    n = len(data) // 13
+    first, second, third = (np.frombuffer(data, t, n, at * n) for t, at in ((np.uint64, 0), (np.uint32, 8), (np.uint8, 12)))
+    buckets = [(first >> np.uint64(15 * k) & np.uint64(0x7FFF)).astype(np.int64) for k in range(4)]
+    second = second.astype(np.int64)
+    return *buckets, second >> 5 & 511, second >> 14 & 511, second >> 23 | third.astype(np.int64) << 9, (first >> np.uint64(60)).astype(np.int64) | (second & 31) << 4
+
+
+def deal(s: Stream, rows: np.ndarray, teaches: np.ndarray, hashes: int, blocks: int) -> pa.RecordBatch:
+    """The tokens of a slice by block: documents (``rows``), how many tokens each has there, and the tokens in 13 bytes each."""
+    packed = _packed(*features(s, hashes), _back(s.buckets, s.starts, 2, _BEFORE_BUCKET), s.buckets, hashes)
+    owner = np.repeat(np.arange(len(rows)), np.diff(s.starts, append=len(s.tokens)))
+    block = (_back(s.tokens, s.starts, 1, BEFORE) >> np.uint64(40)) % np.uint64(blocks)
+    group = block.astype(np.int64) * 2 + teaches[owner]
+    order = np.argsort(group, kind="stable")
+    groups, cuts = np.unique(group[order], return_index=True)
+    found = []
+    for k, a, b in zip(groups.tolist(), cuts, np.append(cuts[1:], len(order)), strict=True):
+        for at in (order[i : min(i + PIECE, b)] for i in range(a, b, PIECE)):
+            own, times = np.unique(owner[at], return_counts=True)
+            found.append((k // 2, bool(k % 2), rows[own], times, b"".join(p[at].tobytes() for p in packed)))
+    types = (pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["block", "teaches", "rows", "times", "examples"])
+
+
+def dealt_examples(batches: Iterator[pa.RecordBatch], hashes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """What ``_examples`` yields, of dealt tokens, and the document of each token."""
+    waiting, n = [], 0
+
+    def joined():
+        *parts, own = (np.concatenate(p) for p in zip(*(_unpacked(data) for data, _ in waiting), strict=True))
+        return *_numbered(*parts, hashes), own, np.concatenate([r for _, r in waiting])
+
+    for batch in batches:
+        rows, times, examples = (batch.column(c) for c in ("rows", "times", "examples"))
+        for k in range(len(batch)):
+            waiting.append((examples[k].as_buffer(), np.repeat(rows[k].values.to_numpy(), times[k].values.to_numpy())))
+            n += len(waiting[-1][1])
+            if n >= PIECE:
+                yield joined()
+                waiting, n = [], 0
+    if waiting:
+        yield joined()
+
+
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, bucket, n): kind 0 tokens, kind 1 pairs of neighbouring endings."""
     pairs = np.zeros((ENDINGS + 2) ** 2, np.int64)
@@ -253,7 +349,7 @@ def step(weights: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> None:
     sums[:] = 0
 
 
-def _trained(weights, classes: Classes, hashes: int):
+def _trained(weights, classes: Classes, hashes: int, examples=_examples):
     """(kind, feature, seen, values): the rows of both tables that a task saw, times how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,18 +358,15 @@ def _trained(weights, classes: Classes, hashes: int):
         sums = Weights(*(np.zeros(w.shape[::-1]) for w in own))
         seen = [np.zeros(len(w), np.int64) for w in own]
         waiting = 0
-        for batch in batches:
-            for part in W.slices(batch.column("text"), SLICE_BYTES // 2):
-                s = stream(part)
-                found = features(s, hashes)
-                add_gradients(own, *found, classes, s.buckets, hashes, sums)
-                for n, f in zip(seen, found, strict=True):
-                    n += np.bincount(f.ravel(), minlength=len(n))
-                waiting += len(s.tokens)
-                if waiting >= STEP_TOKENS:
-                    for tables in zip(own, sums, squares, strict=True):
-                        step(*tables)
-                    waiting = 0
+        for f, g, buckets, *_ in examples(batches, hashes):
+            add_gradients(own, f, g, classes, buckets, hashes, sums)
+            for n, rows in zip(seen, (f, g), strict=True):
+                n += np.bincount(rows.ravel(), minlength=len(n))
+            waiting += len(buckets)
+            if waiting >= STEP_TOKENS:
+                for tables in zip(own, sums, squares, strict=True):
+                    step(*tables)
+                waiting = 0
         if waiting:
             for tables in zip(own, sums, squares, strict=True):
                 step(*tables)
@@ -341,7 +434,8 @@ def held_out(doc_id: Column) -> Column:
 class Model(NamedTuple):
     classes: Classes
     hashes: int
-    weights: Weights
+    #: None where tokens are dealt to blocks, each with weights of its own
+    weights: Weights | None
     #: log10(N_b + V_b + 1) of each ending
     sizes: np.ndarray
     head_keys: np.ndarray
@@ -350,15 +444,35 @@ class Model(NamedTuple):
 
 def history_logs(m: Model, s: Stream) -> np.ndarray:
     """log10 of P(class | history) * P(ending | class, history) of each token."""
-    f, g = features(s, m.hashes)
-    own, column = m.classes.of[s.buckets], m.classes.place[s.buckets]
-    p = probabilities(m.weights.outer, f)[np.arange(len(own)), own].astype(np.float64)
-    for at, first, q in within(m.weights.inner, g, m.classes, own):
+    return _logs(m.weights, m.classes, *features(s, m.hashes), s.buckets)
+
+
+def _logs(weights: Weights, classes: Classes, f: np.ndarray, g: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    own, column = classes.of[buckets], classes.place[buckets]
+    p = probabilities(weights.outer, f)[np.arange(len(own)), own].astype(np.float64)
+    for at, first, q in within(weights.inner, g, classes, own):
         p[at] *= q[np.arange(len(at)), column[at] - first]
     return np.log10(np.maximum(p, 1e-300))
 
 
-def _score(model):
+def _block_logs(weights, classes: Classes, hashes: int):
+    """(row, history): parts of the sums of ``history_logs`` over a document's tokens in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *examples, rows in dealt_examples(batches, hashes):
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            yield pa.record_batch([pa.array(rows[first]), pa.array(np.add.reduceat(_logs(weights.value, classes, *examples), first))], ["row", "history"])
+        release()
+
+    return run
+
+
+_SCORED = "row long, doc_id long, n_tokens long, known long, logs double, classes double, tail array<long>, tail_n array<long>"
+
+
+def _score(model, blocks: int = 1):
+    """A row for each document; with several blocks ``classes`` lacks the history's part, and further rows (those with a block) are dealt tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         row_id = TaskContext.get().partitionId() << 36
@@ -366,13 +480,13 @@ def _score(model):
             for part in W.slices(batch.column("text"), SLICE_BYTES // 2):
                 s = stream(part)
                 own = s.buckets
-                chosen = history_logs(m, s) - m.sizes[own]
+                chosen = (history_logs(m, s) if m.weights else 0.0) - m.sizes[own]
                 at = np.minimum(np.searchsorted(m.head_keys, s.tokens), len(m.head_keys) - 1)
                 known = m.head_keys[at] == s.tokens
                 logs = np.where(known, m.head_logs[at], 0.0)
                 n = np.diff(s.starts, append=len(own))
                 tails = [np.unique(t, return_counts=True) for t in np.split(s.tokens[~known].view(np.int64), np.cumsum(np.add.reduceat(~known, s.starts, dtype=np.int64))[:-1])]
-                yield pa.record_batch(
+                scored = pa.record_batch(
                     [
                         pa.array(row_id + np.arange(len(n))),
                         batch.column("doc_id").slice(part.first, len(n)),
@@ -385,12 +499,55 @@ def _score(model):
                     ],
                     ["row", "doc_id", "n_tokens", "known", "logs", "classes", "tail", "tail_n"],
                 )
+                if blocks > 1:
+                    dealt = deal(s, row_id + np.arange(len(n)), batch.column("teaches").slice(part.first, len(n)).to_numpy(zero_copy_only=False), m.hashes, blocks)
+                    yield _filled(scored, scored.schema, dealt.schema)
+                    yield _filled(dealt, scored.schema, dealt.schema)
+                else:
+                    yield scored
                 row_id += len(n)
         release()
 
     return run
 
 
+def _filled(batch: pa.RecordBatch, *schemas: pa.Schema) -> pa.RecordBatch:
+    """``batch`` with all columns of the schemas, those it lacks null; rows that are not dealt have the block -1."""
+    fields = [f for schema in schemas for f in schema]
+    columns = [batch.column(f.name) if f.name in batch.schema.names else pa.array([-1] * len(batch), f.type) if f.name == "block" else pa.nulls(len(batch), f.type) for f in fields]
+    return pa.record_batch(columns, [f.name for f in fields])
+
+
+def _in_blocks(source: DataFrame, model: Model, blocks: int, weights: Weights, rounds: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """What ``_score`` yields, and (row, history) from blocks that are trained (in ``tasks`` tasks) and scored one after the other.
+
+    A block's dealt tokens are deleted when its parts of the sums are written.
+    """
+    spark = source.sparkSession
+    tidy(spark)
+    root = f"{shared_root(spark)}/blocks-{uuid.uuid4().hex[:12]}"
+    rows = source.withColumn("teaches", F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    dealt = rows.mapInArrow(_score(spark.sparkContext.broadcast(model), blocks), f"{_SCORED}, {_DEALT}")
+    dealt.write.partitionBy("block").option("compression", "zstd").parquet(f"{root}/dealt")
+    table = spark.read.schema(dealt.schema).parquet(f"{root}/dealt")
+    logs = "row long, history double"
+    for block in range(blocks):
+        mine = table.where(F.col("block") == block).select("teaches", "rows", "times", "examples")
+        own = weights
+        for _ in range(rounds):
+            start = spark.sparkContext.broadcast(own)
+            own = mixed(mine.where("teaches").coalesce(tasks).mapInArrow(_trained(start, model.classes, model.hashes, dealt_examples), "kind int, feature long, seen long, values array<float>"), own)
+            start.unpersist()
+        final = spark.sparkContext.broadcast(own)
+        mine.mapInArrow(_block_logs(final, model.classes, model.hashes), logs).write.mode("append").parquet(f"{root}/logs")
+        final.unpersist()
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/dealt/block={block}")
+        done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+        tidy(spark)
+    history = spark.read.schema(logs).parquet(f"{root}/logs").groupBy("row").agg(F.sum("history").alias("history"))
+    return table.where("block = -1").drop("block", "teaches", "rows", "times", "examples"), history
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row.
 
@@ -422,13 +579,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     all_n, all_v = np.zeros(ENDINGS + 2), np.zeros(ENDINGS + 2)
     all_n[bucket], all_v[bucket] = bucket_n, bucket_v
 
-    hashes = 1 << int(np.clip(kinds // WORDS_PER_HASH, LEAST_HASHES, MOST_HASHES) - 1).bit_length()
+    sizes = vocabulary.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
+    hashes, blocks = sized((r["n"], r["count"]) for r in sizes)
     weights = initial_weights(all_n, classes, hashes)
-    for _ in range(rounds):
+    for _ in range(rounds if blocks == 1 else 0):
         rows = training.mapInArrow(_trained(spark.sparkContext.broadcast(weights), classes, hashes), "kind int, feature long, seen long, values array<float>")
         weights = mixed(rows, weights)
 
-    sizes = vocabulary.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     least, room = 100_001, head
     for r in sizes:
         room -= r["count"]
@@ -438,11 +595,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     frequent = vocabulary.where(F.col("n") >= least).select("key", "n").toArrow()
     keys = frequent["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = Model(classes, hashes, weights, np.log10(all_n + all_v + 1), keys[order] if len(keys) else np.zeros(1, np.uint64), np.log10(frequent["n"].to_numpy()[order] + 1.0) if len(keys) else np.zeros(1))
-    scored = stage(
-        source.mapInArrow(_score(spark.sparkContext.broadcast(model)), "row long, doc_id long, n_tokens long, known long, logs double, classes double, tail array<long>, tail_n array<long>"), "scored"
-    )
-    out = scored.select("row", "doc_id", "n_tokens", "known", "logs", "classes")
+    model = Model(classes, hashes, weights if blocks == 1 else None, np.log10(all_n + all_v + 1), keys[order] if len(keys) else np.zeros(1, np.uint64), np.log10(frequent["n"].to_numpy()[order] + 1.0) if len(keys) else np.zeros(1))
+    if blocks == 1:
+        scored = stage(source.mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCORED), "scored")
+        out = scored.select("row", "doc_id", "n_tokens", "known", "logs", "classes")
+    else:
+        scored, history = _in_blocks(source, model, blocks, weights, rounds, max(1, total // blocks // TASK_TOKENS))
+        out = scored.join(history, "row").select("row", "doc_id", "n_tokens", "known", "logs", (F.col("classes") + F.col("history")).alias("classes"))
     if len(frequent) < kinds:
         each = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("key"), F.col("t.tail_n").alias("times"))
         rare = vocabulary.where(F.col("n") < least).select("key", "n")

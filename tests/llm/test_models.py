@@ -551,6 +551,75 @@ def test_language_model_learns_with_each_round(spark):
     assert scores[0] < scores[1] < scores[2]
 
 
+def small_tables(monkeypatch):
+    """Tables of 64 buckets a template, for 352 distinct words: ``lm_docs`` has more."""
+    for name, value in (("LEAST_HASHES", 64), ("MOST_HASHES", 64), ("WORDS_PER_HASH", 5.5)):
+        monkeypatch.setattr(maxent, name, value)
+
+
+def test_language_model_hash_space_has_no_upper_bound(spark, monkeypatch):
+    """What a small table learns of words that follow each other is little; more blocks of that size learn more."""
+    small_tables(monkeypatch)
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(360)]
+    after = rng.integers(0, 360, 360)
+    docs = []
+    for i in range(400):
+        w = [int(rng.integers(0, 360))]
+        while len(w) < 40:
+            w += [int(after[w[-1]]), int(rng.integers(0, 360))]
+        docs.append((i, " ".join(words[k] for k in w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    out = maxent.score(frame, rounds=2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 0.86 * out[1]  # less negative; one table reaches 0.894
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_language_model_in_blocks_loses_no_token(spark, monkeypatch, rounds):
+    docs = [d for d in lm_docs() if d[0] is None or d[0] < 150 or d[0] >= 700]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = lambda r: sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in r.collect()), key=str)
+    whole = maxent.score(frame, rounds=rounds)
+    expected, likelihood = rows(whole), {(r.doc_id, r.n_tokens): r.score for r in whole.collect()}
+    small_tables(monkeypatch)
+    monkeypatch.setattr(maxent, "PIECE", 1000)
+    blocks = maxent.score(frame, rounds=rounds)
+    assert rows(blocks) == expected
+    for r in blocks.collect():
+        # untrained, blocks have the same weights as one table
+        assert abs(r.score - likelihood[r.doc_id, r.n_tokens]) < (1e-6 if rounds == 0 else 0.2) * max(1, abs(r.score))
+
+
+def test_language_model_blocks_follow_the_vocabulary():
+    assert maxent.sized([(1, 10)]) == (maxent.LEAST_HASHES, 1)
+    limit = maxent.WORDS_PER_HASH * maxent.MOST_HASHES
+    assert maxent.sized([(7, limit)]) == (maxent.MOST_HASHES, 1)
+    assert maxent.sized([(1, 4 * limit)]) == (maxent.MOST_HASHES, 4)
+    # words of many occurrences are in all blocks, so more are needed
+    assert maxent.sized([(50, limit), (1, limit)])[1] > 4
+
+
+def test_language_model_dealt_tokens_keep_their_features():
+    s, hashes, blocks = toy_stream(), 64, 4
+    f, g = maxent.features(s, hashes)
+    n = np.diff(s.starts, append=len(s.tokens))
+    batch = maxent.deal(s, np.arange(len(n)) + 100, np.arange(len(n)) % 2 == 0, hashes, blocks)
+    owner = np.repeat(np.arange(len(n)) + 100, n)
+    expected = sorted((int(r), int(b), *map(int, f[:, i]), *map(int, g[:, i])) for i, (r, b) in enumerate(zip(owner, s.buckets, strict=True)))
+    found, block_of = [], {}
+    for k in range(len(batch)):
+        part = batch.slice(k, 1)
+        (dealt,) = maxent.dealt_examples(iter([part]), hashes)
+        f2, g2, buckets, rows = dealt
+        assert all((r % 2 == 0) == part.column("teaches")[0].as_py() for r in rows)
+        found += [(int(r), int(b), *map(int, f2[:, i]), *map(int, g2[:, i])) for i, (r, b) in enumerate(zip(rows, buckets, strict=True))]
+        for i in range(len(rows)):  # the word before decides the block
+            assert block_of.setdefault((int(f2[1, i]), int(g2[2, i])), part.column("block")[0].as_py()) == part.column("block")[0].as_py()
+    assert sorted(found) == expected and len(set(block_of.values())) > 1
+    (again,) = maxent.dealt_examples(iter([batch]), hashes)
+    assert again[0].shape == f.shape
+
+
 # ----------------------------------------------------------------- pipeline
 
 
