@@ -294,7 +294,7 @@ def near_duplicates(
     links = _verified(first, _sets_of(_ends(first), texts, size), percent)
     found = stage(connected_components(links), "components")
 
-    tidy(docs.sparkSession)
+    tidy(docs.sparkSession, executors=True)
     bucketed = stage(shared.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "bucketed")
     mixed = bucketed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     members = stage(bucketed.join(mixed, "key"), "mixed")
@@ -303,7 +303,7 @@ def near_duplicates(
     tried = stage(_with_major(members, percent).join(first, ["u", "v"], "left_anti"), "tried")
     links = stage(links.unionByName(_verified(tried, sets, percent)), "links")
     found = stage(connected_components(links), "components")
-    tidy(docs.sparkSession)
+    tidy(docs.sparkSession, executors=True)
     members = stage(members.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
     pairs, hot = _across(members, percent, bucket_pairs)
     hot = stage(hot, "hot")
@@ -318,7 +318,7 @@ def near_duplicates(
     ids = member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     links = links.unionByName(repeated.join(ids.select(F.col("doc_id").alias("v")), "v", "left_semi").select("u", "v"))
     final = stage(connected_components(links), "components")
-    tidy(docs.sparkSession)
+    tidy(docs.sparkSession, executors=True)
 
     named = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     bare = signed.select("doc_id", "n_shingles", "digest")

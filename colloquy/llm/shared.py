@@ -7,6 +7,7 @@ import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colloquy.storage import BROADCAST_ROWS, shared_root, small, stage
 
@@ -41,7 +42,18 @@ def release() -> None:
         pass
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let finished steps go: Spark drops their shuffle files and broadcasts once the driver's references are collected, and the driver gets smaller."""
+def tidy(spark: SparkSession, executors: bool = False) -> None:
+    """Let finished steps go: Spark drops their shuffle files and broadcasts once the driver's references are collected, and the driver gets smaller.
+
+    With ``executors`` their JVMs collect in full too: a heap that a step
+    filled goes back to the system, with the classes of its generated code and
+    its direct buffers, before the next step's workers need the room. A task
+    for each of them (the driver is counted too) and Spark's even dealing reach every idle one; a busy one may be left out.
+    """
     release()
-    spark.sparkContext._jvm.System.gc()
+    sc = spark.sparkContext
+    sc._jvm.System.gc()
+    if executors and not sc._jsc.sc().isLocal():
+        n = sc._jsc.sc().getExecutorMemoryStatus().size()
+        collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+        spark.range(0, n, 1, n).select(collected).write.format("noop").mode("overwrite").save()

@@ -2,7 +2,8 @@
 
 Every stage reads what the one before kept, as Parquet; its decisions take
 effect there. All but the last return the columns of ``documents``
-(``n_chars`` follows the text).
+(``n_chars`` follows the text). Each begins by having the executors give back
+what the one before filled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import linededup, neardup, packing, pii, toxicity
-from colloquy.llm.shared import small, stage
+from colloquy.llm.shared import small, stage, tidy
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,6 +26,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts toxic go; the score needs no join back to the text."""
+    tidy(spark, executors=True)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     kept = toxicity.with_score(docs.select(*COLUMNS), labels)
     return kept.where(F.col("__toxicity") < 0.5).select(*COLUMNS)
@@ -32,6 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a source repeats on more than a tenth of its different pages go; exact copies of a page count once."""
+    tidy(spark, executors=True)
     return _columns(linededup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), copies_once=True))
 
 
@@ -43,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     smallest id stays. Blank texts go only where id and text repeat; rows with
     a null id all stay.
     """
+    tidy(spark, executors=True)
     key = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
     docs = stage(docs.select(*COLUMNS).withColumn("__row", key), "rows")
     found = stage(neardup.near_duplicates(docs, "__row").where("doc_id is not null").select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component")), "near-duplicates")
@@ -59,11 +63,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
+    tidy(spark, executors=True)
     return _columns(pii.redact(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents in sequences of at most 4096 tokens."""
+    tidy(spark, executors=True)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

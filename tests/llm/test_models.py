@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -673,3 +676,37 @@ def test_near_duplicates_go_by_row_not_by_id(spark):
     frame = spark.createDataFrame([(i, t, "en", "site", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     found = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()), key=str)
     assert found == sorted([(1, one), (9, three), (4, three + " gimel dalet he vav"), (7, two), (3, ""), (3, " "), (2, None), (5, ""), (None, one), (None, one)], key=str)
+
+
+COLLECTS = """
+import os, sys
+from pathlib import Path
+
+import pyspark
+
+root, home = sys.argv[1], Path(sys.argv[1], "home")
+home.mkdir()
+for p in Path(pyspark.__file__).parent.iterdir():  # executors write to work in Spark's home
+    if p.name != "work":
+        (home / p.name).symlink_to(p)
+os.environ |= {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": root}
+from pyspark.sql import SparkSession
+
+import corpus_pipeline
+
+conf = {"spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.executor.extraJavaOptions": f"-Xlog:gc:file={root}/gc-%p.log"}
+spark = SparkSession.builder.master("local-cluster[2,2,512]").config(map=conf).getOrCreate()
+docs = spark.createDataFrame([(1, "a 1.2.3.4", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+for name in ("drop_boilerplate_lines", "redact_personal_data"):
+    getattr(corpus_pipeline, name)(spark, docs, "")
+    print([p.read_text().count("Pause Full (System.gc())") for p in sorted(Path(root).glob("gc-*.log"))])
+"""
+
+
+def test_pipeline_stages_have_every_executor_give_memory_back(tmp_path):
+    """Else a later stage's workers come on top of heaps that earlier stages filled."""
+    done = subprocess.run([sys.executable, "-c", COLLECTS, str(tmp_path)], capture_output=True, text=True, timeout=180)
+    first, second = (json.loads(x) for x in done.stdout.splitlines() if x.startswith("["))
+    # executors that start while the session ends have logs of their own
+    assert sum(n >= 1 for n in first) >= 2, (first, done.stderr[-2000:])
+    assert sum(n >= 2 for n in second) >= 2, second
