@@ -6,12 +6,13 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.storage import BROADCAST_ROWS, shared_root, small, stage
 
-__all__ = ["BROADCAST_ROWS", "fresh", "modest_batches", "release", "shared_root", "small", "stage", "tidy"]
+__all__ = ["BROADCAST_ROWS", "fresh", "modest_batches", "release", "shared_root", "small", "stage", "tidy", "trim"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -42,6 +43,31 @@ def release() -> None:
         pass
 
 
+def trim(spark: SparkSession) -> None:
+    """Have the driver's JVM give freed native memory back to the system.
+
+    What its compiler threads free while they compile generated code stays in the allocator's
+    arenas, and with hundreds of plans these come to more than the heap.
+    """
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    of = jvm.java.lang.Class.forName
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for k, value in enumerate(values):
+            out[k] = value
+        return out
+
+    try:
+        types = array(jvm.java.lang.Class, *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", types)  # the server's own class is not exported
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, name, "systemTrimNativeHeap", None, None))
+    except Py4JError:  # another JVM or C library
+        pass
+
+
 def tidy(spark: SparkSession, executors: bool = False) -> None:
     """Let finished steps go: Spark drops their shuffle files and broadcasts once the driver's references are collected, and the driver gets smaller.
 
@@ -53,6 +79,7 @@ def tidy(spark: SparkSession, executors: bool = False) -> None:
     release()
     sc = spark.sparkContext
     sc._jvm.System.gc()
+    trim(spark)
     if executors and not sc._jsc.sc().isLocal():
         n = sc._jsc.sc().getExecutorMemoryStatus().size()
         collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))

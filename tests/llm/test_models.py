@@ -10,6 +10,7 @@ import sys
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colloquy.llm import maxent, pii, topk, toxicity
+from colloquy.llm import maxent, pii, shared, topk, toxicity
 from colloquy.llm import words as W
 
 # ---------------------------------------------------------------- toxicity
@@ -710,3 +711,23 @@ def test_pipeline_stages_have_every_executor_give_memory_back(tmp_path):
     # executors that start while the session ends have logs of their own
     assert sum(n >= 1 for n in first) >= 2, (first, done.stderr[-2000:])
     assert sum(n >= 2 for n in second) >= 2, second
+
+
+def test_driver_gives_freed_native_memory_back(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def held() -> float:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+
+    jvm.System.gc()
+    native = [jvm.java.util.zip.Deflater() for _ in range(600)]  # about 0.25 MB each, none of it in the heap
+    full = held()
+    for d in native[:-1]:
+        d.end()  # the last one keeps the arena from shrinking by itself
+    jvm.System.gc()
+    freed = held()
+    shared.tidy(spark)
+    after = held()
+    native[-1].end()
+    assert after < min(full, freed) - 50, (full, freed, after)
