@@ -60,6 +60,10 @@ HEAD = 500_000
 #: Tokens after which a task makes a step.
 STEP_TOKENS = 250_000
 SLICE_BYTES = 1 << 20
+#: Tokens whose softmax over classes a processor's cache holds.
+CHUNK = 1 << 12
+#: Tokens that are counted at a time.
+COUNT_TOKENS = 1 << 21
 #: Tokens of a dealt row, and about half of the most that are trained or scored at a time.
 PIECE = 1 << 16
 #: Tokens for which a block gets one more training task: each hands in a whole table.
@@ -198,7 +202,7 @@ def deal(s: Stream, rows: np.ndarray, teaches: np.ndarray, hashes: int, blocks:
     owner = np.repeat(np.arange(len(rows)), np.diff(s.starts, append=len(s.tokens)))
     block = (_back(s.tokens, s.starts, 1, BEFORE) >> np.uint64(40)) % np.uint64(blocks)
     group = block.astype(np.int64) * 2 + teaches[owner]
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint16) if blocks < 1 << 15 else group, kind="stable")  # a radix sort
     groups, cuts = np.unique(group[order], return_index=True)
     found = []
     for k, a, b in zip(groups.tolist(), cuts, np.append(cuts[1:], len(order)), strict=True):
@@ -232,13 +236,25 @@ def dealt_examples(batches: Iterator[pa.RecordBatch], hashes: int) -> Iterator[t
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, bucket, n): kind 0 tokens, kind 1 pairs of neighbouring endings."""
     pairs = np.zeros((ENDINGS + 2) ** 2, np.int64)
+    waiting, size = [], 0
+
+    def counted():
+        tokens, buckets = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        keys, first, n = np.unique(tokens, return_index=True, return_counts=True)
+        return pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(buckets[first]), pa.array(n)], ["kind", "key", "bucket", "n"])
+
     for batch in batches:
-        for part in W.slices(batch.column("text"), 8 * SLICE_BYTES):
+        for part in W.slices(batch.column("text"), SLICE_BYTES // 2):
             s = stream(part)
-            keys, first, n = np.unique(s.tokens, return_index=True, return_counts=True)
             before = _back(s.buckets, s.starts, 1, _BEFORE_BUCKET)
             pairs += np.bincount(before * (ENDINGS + 2) + s.buckets, minlength=len(pairs))
-            yield pa.record_batch([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(s.buckets[first].astype(np.int32)), pa.array(n)], ["kind", "key", "bucket", "n"])
+            waiting.append((s.tokens, s.buckets.astype(np.int32)))
+            size += len(s.tokens)
+            if size >= COUNT_TOKENS:
+                yield counted()
+                waiting, size = [], 0
+    if waiting:
+        yield counted()
     at = np.flatnonzero(pairs)
     if len(at):
         yield pa.record_batch([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(np.zeros(len(at), np.int32)), pa.array(pairs[at])], ["kind", "key", "bucket", "n"])
@@ -298,46 +314,56 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def probabilities(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """(tokens, classes) softmax."""
-    z = weights[f[0]]
-    for row in f[1:]:
-        z += weights[row]
-    return softmax(z)
+def probabilities(weights: np.ndarray, f: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """(tokens, their (tokens, classes) softmax) for ``CHUNK`` tokens at a time, in an array that is used again; the first template is the constant."""
+    z = np.empty((min(CHUNK, f.shape[1]), weights.shape[1]), weights.dtype)
+    more = np.empty_like(z)
+    for a in range(0, f.shape[1], CHUNK):
+        rows = f[1:, a : a + CHUNK]
+        out, add = z[: rows.shape[1]], more[: rows.shape[1]]
+        np.take(weights, rows[0], axis=0, out=out, mode="clip")  # "clip" needs no buffer; no number is out of bounds
+        out += weights[0]
+        for row in rows[1:]:
+            out += np.take(weights, row, axis=0, out=add, mode="clip")
+        yield slice(a, a + len(out)), softmax(out)
 
 
-def within(weights: np.ndarray, f: np.ndarray, classes: Classes, own: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """(tokens, first column, softmax over the class's endings) for each class of several endings; ``own`` is the tokens' class."""
-    order = np.argsort(own, kind="stable")
+def within(weights: np.ndarray, f: np.ndarray, classes: Classes, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(tokens, their features but the constant, first column, softmax over the class's endings) for each class of several endings; ``own`` is the tokens' class."""
+    order = np.argsort(own.astype(np.uint16), kind="stable")  # a radix sort
     cuts = np.searchsorted(own[order], np.arange(len(classes.bounds)))
     for c, (a, b) in enumerate(zip(classes.bounds[:-1], classes.bounds[1:], strict=True)):
         at = order[cuts[c] : cuts[c + 1]]
         if b - a > 1 and len(at):
-            columns = weights[:, a:b]
-            z = columns[f[0, at]]
-            for row in f[1:]:
-                z += columns[row[at]]
-            yield at, a, softmax(z)
-
-
-def _summed(f: np.ndarray, bounds: np.ndarray, residual: np.ndarray, out: np.ndarray) -> None:
-    """Adds each token's residual (tokens, columns) to its features' rows of ``out`` (columns, features)."""
-    columns = np.ascontiguousarray(residual.T, np.float64)
-    for row, a, b in zip(f, bounds[:-1], bounds[1:], strict=True):
+            columns, rows = np.ascontiguousarray(weights[:, a:b]), f[1:].take(at, axis=1)
+            z = columns.take(rows[0], axis=0)
+            z += columns[0]
+            for row in rows[1:]:
+                z += columns.take(row, axis=0)
+            yield at, rows, a, softmax(z)
+
+
+def _summed(f: np.ndarray, bounds: np.ndarray, columns: np.ndarray, out: np.ndarray) -> None:
+    """Takes each token's excess (columns, tokens) from its features' rows of ``out`` (columns, features); ``f`` lacks the constant."""
+    out[:, 0] -= columns.sum(axis=1)
+    for row, a, b in zip(f, bounds[1:-1], bounds[2:], strict=True):
+        at = row - a
         for c, column in enumerate(columns):
-            out[c, a:b] += column.sum() if b - a == 1 else np.bincount(row - a, column, b - a)
+            out[c, a:b] -= np.bincount(at, column, b - a)
 
 
 def add_gradients(weights: Weights, f: np.ndarray, g: np.ndarray, classes: Classes, buckets: np.ndarray, hashes: int, sums: Weights) -> None:
     """Adds observed less expected counts to ``sums``: (classes, features) and (endings, inner features)."""
     own, column = classes.of[buckets], classes.place[buckets]
-    residual = -probabilities(weights.outer, f)
-    residual[np.arange(len(own)), own] += 1
-    _summed(f, offsets(hashes), residual, sums.outer)
-    for at, first, p in within(weights.inner, g, classes, own):
-        p = -p
-        p[np.arange(len(at)), column[at] - first] += 1
-        _summed(g[:, at], _INNER, p, sums.inner[first : first + p.shape[1]])
+    excess = np.empty((weights.outer.shape[1], len(own)))
+    for tokens, p in probabilities(weights.outer, f):
+        excess[:, tokens] = p.T
+    excess[own, np.arange(len(own))] -= 1
+    _summed(f[1:], offsets(hashes), excess, sums.outer)
+    for at, rows, first, p in within(weights.inner, g, classes, own):
+        p = np.ascontiguousarray(p.T, np.float64)
+        p[column[at] - first, np.arange(len(at))] -= 1
+        _summed(rows, _INNER, p, sums.inner[first : first + len(p)])
 
 
 def step(weights: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> None:
@@ -449,8 +475,10 @@ def history_logs(m: Model, s: Stream) -> np.ndarray:
 
 def _logs(weights: Weights, classes: Classes, f: np.ndarray, g: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     own, column = classes.of[buckets], classes.place[buckets]
-    p = probabilities(weights.outer, f)[np.arange(len(own)), own].astype(np.float64)
-    for at, first, q in within(weights.inner, g, classes, own):
+    p = np.empty(len(own))
+    for tokens, q in probabilities(weights.outer, f):
+        p[tokens] = q[np.arange(len(q)), own[tokens]]
+    for at, _, first, q in within(weights.inner, g, classes, own):
         p[at] *= q[np.arange(len(at)), column[at] - first]
     return np.log10(np.maximum(p, 1e-300))
 
@@ -481,7 +509,8 @@ def _score(model, blocks: int = 1):
                 s = stream(part)
                 own = s.buckets
                 chosen = (history_logs(m, s) if m.weights else 0.0) - m.sizes[own]
-                at = np.minimum(np.searchsorted(m.head_keys, s.tokens), len(m.head_keys) - 1)
+                order, at = np.argsort(s.tokens), np.empty(len(own), np.int64)
+                at[order] = np.minimum(np.searchsorted(m.head_keys, s.tokens[order]), len(m.head_keys) - 1)  # in order, so that searches stay in the cache
                 known = m.head_keys[at] == s.tokens
                 logs = np.where(known, m.head_logs[at], 0.0)
                 n = np.diff(s.starts, append=len(own))

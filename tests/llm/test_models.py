@@ -517,6 +517,40 @@ def test_language_model_gradient_equals_brute_force():
     assert np.allclose(w, m.weights.outer + maxent.RATE * outer / np.sqrt(1 + outer**2 + maxent.DAMPING), atol=1e-4) and not sums.outer.any()
 
 
+def test_language_model_does_not_depend_on_chunks(monkeypatch):
+    m, s = toy_model(), toy_stream()
+    f, g = maxent.features(s, m.hashes)
+
+    def found():
+        sums = maxent.Weights(*(np.zeros(w.shape[::-1]) for w in m.weights))
+        maxent.add_gradients(m.weights, f, g, m.classes, s.buckets, m.hashes, sums)
+        return *sums, maxent.history_logs(m, s)
+
+    whole = found()
+    monkeypatch.setattr(maxent, "CHUNK", 3)
+    assert len(s.tokens) > 6 and [len(p) for _, p in maxent.probabilities(m.weights.outer, f)][:2] == [3, 3]
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, found(), strict=True))
+
+
+def test_language_model_counts_a_tokens_rows_together(monkeypatch):
+    """A token has one row for many batches and slices, and none is lost where they are handed on earlier."""
+    texts = [["one two two", None, "three one"], ["two"], [], ["", "four Two one"]]
+    batches = [pa.record_batch([pa.array(t, pa.string())], ["text"]) for t in texts]
+    expected = Counter(int(W.hash_word(w.encode())) for t in texts for x in t for w in (x or "").lower().split()) + Counter({int(maxent.END): 6})
+
+    def found():
+        rows = [r for b in maxent._token_counts(iter(batches)) for r in b.to_pylist() if r["kind"] == 0]
+        total = Counter()
+        for r in rows:
+            total[r["key"] % 2**64] += r["n"]
+        assert total == expected
+        return len(rows)
+
+    assert found() == len(expected)
+    monkeypatch.setattr(maxent, "COUNT_TOKENS", 1)
+    assert found() > len(expected)
+
+
 def test_language_model_weights_are_averaged_by_feature(spark):
     m = toy_model()
     k = m.weights.outer.shape[1]
