@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, linededup, maxent, neardup, packing, pii, tokencounts, topk, toxicity
+from .shared import tidy
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tidy(spark, executors=True)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = linededup.drop_boilerplate(docs, F.col("source"))
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.char_length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))

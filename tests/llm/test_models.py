@@ -747,6 +747,23 @@ def test_pipeline_stages_have_every_executor_give_memory_back(tmp_path):
     assert sum(n >= 2 for n in second) >= 2, second
 
 
+LINE_DEDUP_COLLECTS = COLLECTS.partition("docs = ")[0] + """
+from colloquy.llm import catalog
+
+spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string").write.parquet(f"file://{root}/documents.parquet")
+catalog.op1_line_dedup(spark, f"file://{root}")
+print([p.read_text().count("Pause Full (System.gc())") for p in sorted(Path(root).glob("gc-*.log"))])
+"""
+
+
+def test_line_dedup_query_has_every_executor_give_memory_back(tmp_path):
+    """Else a small input is read with the heaps that a larger one before it filled."""
+    done = subprocess.run([sys.executable, "-c", LINE_DEDUP_COLLECTS, str(tmp_path)], capture_output=True, text=True, timeout=180)
+    collected = [json.loads(x) for x in done.stdout.splitlines() if x.startswith("[")]
+    assert len(collected) == 1, done.stderr[-2000:]
+    assert sum(n >= 1 for n in collected[0]) >= 2, collected
+
+
 def test_driver_gives_freed_native_memory_back(spark):
     jvm = spark.sparkContext._jvm
     pid = jvm.java.lang.ProcessHandle.current().pid()
