@@ -115,31 +115,33 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _fold(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
     """struct<at, out>: a running position from 0 and what each step gives out, in order.
 
-    ``step(at, item)`` is (the new position, whether to give out, what). Each
-    block fills an array of its own and arrays of blocks are joined at the
-    end: appending to one array would copy it at every item.
+    ``step(at, item)`` is (the new position, whether to give out, what). An
+    aggregation copies all that it carries at every item: the one over blocks
+    carries positions alone, and each block then gives out from its own.
     """
 
     def one(acc: Column, x: Column) -> Column:
         at, emit, what = step(acc["at"], x)
         return F.struct(at.cast("int").alias("at"), F.when(emit, F.concat(acc["out"], F.array(what))).otherwise(acc["out"]).alias("out"))
 
-    def block(items: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    def onward(acc: Column, block: Column) -> Column:
+        after = F.aggregate(block, acc["at"], lambda at, x: step(at, x)[0].cast("int"))
+        return F.struct(after.alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins"))
+
+    def folded(blocks: Column, places: Column) -> Column:
         none = F.array().cast(f"array<{kind}>")
-        return F.when(
-            F.size(items) > 0,
-            F.aggregate(
-                starts,
-                F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")),
-                lambda acc, k: _let(
-                    F.aggregate(F.slice(items, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), one), lambda inner: F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
-                ),
-                lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")),
-            ),
-        ).otherwise(F.struct(F.lit(0).alias("at"), none.alias("out")))
+        out = F.transform(blocks, lambda block, k: F.aggregate(block, F.struct(places["begins"][k].alias("at"), none.alias("out")), one, lambda acc: acc["out"]))
+        return F.struct(places["at"].alias("at"), F.flatten(out).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        places = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), onward)
+        return _let(places, lambda p: folded(blocks, p))
+
+    def dealt(items: Column) -> Column:
+        last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
 
-    return _let(items, block)
+    return _let(_let(items, dealt), placed)
 
 
 def chunks_of(text: Column) -> Column:

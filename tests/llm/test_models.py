@@ -361,6 +361,26 @@ def test_redaction_and_native_plan(spark):
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_fold_carries_positions_across_blocks_in_linear_time(spark):
+    sizes = [0, 1, pii.BLOCK, pii.BLOCK + 1, 2 * pii.BLOCK, 200_000]
+
+    def step(at, x):  # of ranges that begin at x, those that begin after the last one given out
+        return F.when(x >= at, x + 1 + x % 2).otherwise(at), x >= at, F.struct(x.alias("x"), F.concat(F.lit("item "), x.cast("string")).alias("s"))
+
+    frame = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", F.when(F.col("n") > 0, F.sequence(F.lit(1), "n")).otherwise(F.array().cast("array<int>")).alias("xs"))
+    began = time.perf_counter()
+    found = {r.n: (r.f.at, [tuple(o) for o in r.f.out]) for r in frame.select("n", pii._fold(F.col("xs"), "struct<x:int,s:string>", step).alias("f")).collect()}
+    took = time.perf_counter() - began
+    for n in sizes:
+        at, out = 0, []
+        for x in range(1, n + 1):
+            if x >= at:
+                at = x + 1 + x % 2
+                out.append((x, f"item {x}"))
+        assert found[n] == (at, out), n
+    assert took < 20
+
+
 def test_many_spans_in_one_text_cost_linear_time(spark):
     text = "é🙂 " + "".join(f"u{k}@ex.org {k % 250}.1.1.1 DE89370400440532013000 ? " for k in range(2_000)) + "tail"
     many = "".join(f"name{k}@example.org " for k in range(100_000))
